@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, token_files
 
 QUERIES = {
+    "op3_token_files": token_files.op3_token_files,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_bpe": bpe.op5_bpe,
     "op10_source_mix": mixing.op10_source_mix,
 }
 
