@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, mixing, simhash, token_files, toxicity
+from . import bpe, embedding_dedup, exact_dedup, mixing, simhash, token_files, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_files": token_files.op3_token_files,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_bpe": bpe.op5_bpe,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_source_mix": mixing.op10_source_mix,
 }
