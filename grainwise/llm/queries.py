@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, embedding_dedup, exact_dedup, mixing, simhash, token_files, toxicity
+from . import bpe, embedding_dedup, exact_dedup, mixing, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_source_mix": mixing.op10_source_mix,
 }
