@@ -7,6 +7,7 @@ import corpus_pipeline
 from . import bpe, embedding_dedup, exact_dedup, mixing, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_files": token_files.op3_token_files,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -17,6 +18,6 @@ QUERIES = {
     "op10_source_mix": mixing.op10_source_mix,
 }
 
-ORACLE_SQL = {
+ORACLE_SQL = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
     "op4_exact_dedup": exact_dedup.ORACLE,
 }

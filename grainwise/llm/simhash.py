@@ -135,3 +135,151 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2, segments:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     return near_duplicates(docs, size=3, distance=2, segments=5).select("doc_id", "fingerprint", "component_id")
+
+
+# Documents of a Jaccard similarity, by long fingerprints: many bits differ there, so that chains alone can't find every pair.
+
+#: Bits of a long fingerprint, as 64-bit words.
+LONG_WORDS = 4
+
+
+def long_fingerprint(text: str | None, size: int, seed: int) -> list[int]:
+    """LONG_WORDS fingerprints of independent hashes of the same shingles, as signed longs."""
+    total, n = np.zeros((LONG_WORDS, 64), np.int64), 0
+    for part in shingles(text or "", size, seed):
+        for k in range(LONG_WORDS):
+            x = part if not k else remix(part, k)
+            total[k] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(part)
+    return np.packbits(total * 2 > n, axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel().tolist()
+
+
+def remix(x: np.ndarray, k: int) -> np.ndarray:
+    x = (x ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def expected_distance(similarity: float) -> float:
+    """The part of bits in which fingerprints of equally large sets with this Jaccard similarity differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def segment_columns(segments: int, rings: int, seed: int) -> list:
+    """Keys of every segment of every ring, each ring a shuffle of all bits: hashes of the segment's bits."""
+    rng = np.random.default_rng(seed)
+    keys = []
+    for ring in range(rings):
+        bits = rng.permutation(64 * LONG_WORDS)
+        for i, part in enumerate(np.array_split(bits, segments)):
+            masks = [0] * LONG_WORDS
+            for b in part.tolist():
+                masks[b // 64] |= 1 << (b % 64)
+            cols = [F.col(f"f{w}").bitwiseAND(F.lit(m - (1 << 64) * (m >> 63))) for w, m in enumerate(masks) if m]
+            keys.append(F.xxhash64(F.lit(ring * segments + i), *cols))
+    return keys
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, segments: int = 11, rings: int = 6, block: int = 512, seed: int = 42) -> DataFrame:
+    """Group documents whose shingle sets have at least this Jaccard similarity, directly or through others.
+
+    Candidates are pairs of 256-bit fingerprints that agree in a whole segment of some ring and differ in no more bits than such sets' do,
+    with four standard deviations to spare; a pair counts once its shingle sets, compared exactly, are similar enough. With the
+    defaults a pair at similarity 0.8 / 0.85 / 0.9 / 0.95 becomes a candidate with probability of about 0.76 / 0.93 / 0.99 / 1.
+
+    docs needs doc_id and text; other columns are ignored. Returns a row for each distinct (doc_id, text): doc, tie (see substring_dedup.keys),
+    root_doc and root_tie (of the group's first document), kept (it is that one). Null texts count as empty; texts without words are
+    alike. Null doc_ids come first. No rows give no rows.
+    """
+    from .substring_dedup import keys
+
+    spark = docs.sparkSession
+    common.bound_batches(spark)
+    docs, repeats = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    names = [f"f{k}" for k in range(LONG_WORDS)]
+    rows = "doc long, tie long, " + ", ".join(f"{n} long" for n in names)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([long_fingerprint(t.as_py(), size, seed) for t in batch.column(2)], np.int64).reshape(-1, LONG_WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["doc", "tie", *names])
+
+    every = common.materialise(docs.select("doc", "tie", "text").mapInArrow(prints, rows), "long-fingerprints")
+    nodes = every.groupBy(*names).agg(F.min(F.struct("doc", "tie")).alias("first"))
+    nodes = common.materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "first.doc", "first.tie", *names), "fingerprint-nodes")
+    members = nodes.select("node", F.explode(F.array(*segment_columns(segments, rings, seed))).alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = members.join(shared.select("key"), "key").join(nodes.select("node", *names), "node")
+    p = expected_distance(similarity)
+    most = int(64 * LONG_WORDS * p + 4 * np.sqrt(64 * LONG_WORDS * p * (1 - p)))
+
+    def near(group: pa.Table, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words = [group.column(n).to_numpy().view(np.uint64) for n in names]
+        differ = np.zeros((len(one), len(two)), np.int32)
+        ok = np.ones(differ.shape, bool)
+        for k, w in enumerate(words):  # along the words, each within its part of the budget and four deviations more
+            differ += np.bitwise_count(w[one][:, None] ^ w[two][None, :])
+            n = 64 * (k + 1)
+            ok &= differ <= (most if k == LONG_WORDS - 1 else n * p + 4 * np.sqrt(n * p * (1 - p)))
+        node = group.column("node").to_numpy()
+        x, y = blocks.forest(ok, one, two)
+        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+    candidates = blocks.compare(members, ["key"], F.xxhash64("node"), block, near, "a long, b long").where("a <> b").distinct()
+    clusters = common.materialise(components(candidates), "candidate-clusters")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.concatenate([*shingles(t.as_py() or "", size, seed), np.zeros(0, np.uint64)])).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["root", "node", "set"])
+
+    wanted = clusters.join(nodes.select("node", "doc", "tie"), "node")
+    texts = docs.dropDuplicates(["doc", "tie"]) if repeats else docs
+    texts = texts.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).select("root", "node", "text")
+
+    def alike(group: pa.Table, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node = group.column("node").to_numpy()
+        x, y = blocks.forest(jaccard(group.column("set").to_pylist(), one, two) >= similarity - 1e-12, one, two)
+        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+    linked = blocks.compare(common.materialise(texts.mapInArrow(sets, "root long, node long, set binary"), "shingle-sets"), ["root"], F.xxhash64("node"), block, alike, "a long, b long")
+    roots = components(linked)
+    group = common.materialise(nodes.join(roots, "node", "left").select(*names, "doc", "tie", F.coalesce("root", "node").alias("root")), "document-groups")
+    first = group.groupBy("root").agg(F.min(F.struct("doc", "tie")).alias("first"))
+    of = group.select(*names, "root").join(first, "root").select(*names, F.col("first.doc").alias("root_doc"), F.col("first.tie").alias("root_tie"))
+    whole = every.distinct() if repeats else every
+    return whole.join(of, names).select("doc", "tie", "root_doc", "root_tie", ((F.col("doc") == F.col("root_doc")) & (F.col("tie") == F.col("root_tie"))).alias("kept"))
+
+
+def jaccard(sets: list[bytes], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Exact Jaccard similarity of sets of 64-bit hashes, rows one against columns two; two empty sets are alike."""
+    values = [np.frombuffer(s, np.uint64) for s in sets]
+    sizes = np.array(list(map(len, values)))
+    row = np.repeat(np.arange(len(values)), sizes)
+    _, col, count = np.unique(np.concatenate(values) if len(row) else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    keep = count[col] > 1  # what a single set holds is in no intersection
+    row, col = row[keep], np.unique(col[keep], return_inverse=True)[1]
+    both = np.zeros((len(one), len(two)), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        a, b = np.searchsorted(col, (at, at + 4096))
+        has = np.zeros((len(values), 4096), np.float32)
+        has[row[a:b], col[a:b] - at] = 1
+        both += has[one] @ has[two].T
+    union = sizes[one][:, None] + sizes[two][None, :] - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """The rows of docs that stay when each group of similar_documents() keeps its first document, with all their columns."""
+    from .substring_dedup import keys
+
+    groups = common.materialise(similar_documents(docs, similarity, size).where("not kept").select("doc", "tie"), "near-copies")
+    doc, tie = common.fresh(docs.columns, "doc", "tie")
+    _, repeats = keys(docs.select("doc_id", "text"))
+    own = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), tie: F.xxhash64("text") if repeats else F.lit(0).cast("long")})
+    groups = groups.select(F.col("doc").alias(f"{doc}_"), F.col("tie").alias(f"{tie}_"))
+    out = own.join(groups, (F.col(doc) == F.col(f"{doc}_")) & (F.col(tie) == F.col(f"{tie}_")), "left_anti")
+    return (out.dropDuplicates([doc, tie]) if repeats else out).select(*[F.col(f"`{c}`") for c in docs.columns])
