@@ -1 +1,55 @@
 """The corpus pipeline: documents in, encoded training documents out. STAGES in order; see run()."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from grainwise.llm import bpe, common, exact_dedup, mixing, simhash, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents that score above their language's threshold go. Learned from the labelled rows that are not held out."""
+    model = toxicity.train(docs, common.read_table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup: of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.deduplicate(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: of documents with a similarity of 0.8 or more over five-word shingles the first stays."""
+    return simhash.keep_one(docs, similarity=0.8, size=5)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: sources at their target weights, each document as often as the mix takes it."""
+    return mixing.emit(mixing.mix(docs)).select(*[f"`{c}`" for c in docs.columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE: ids of each whole text, with their count and digests."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("bpe", encode),
+]
+
+#: No SQL: a trained classifier and SimHash groups are among the stages. tests/llm compares the stages with plain versions of them.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over the documents of sf_dir, each written as Parquet and read again."""
+    docs = common.read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
