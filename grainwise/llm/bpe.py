@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,16 @@ KEPT_PIECES = 400_000
 #: Fixed value: the published pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_WESTERN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_beyond_western = re.compile(rf"[^\t\n\r -~{_WESTERN}]").search
+_western = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_WESTERN}]+| ?[0-9]+| ?[^\s{_WESTERN}0-9]+|\s+(?!\S)|\s+").findall
+_every = regex.compile(PATTERN).findall
+
+
+def pieces(text: str) -> list[str]:
+    """The pieces of a text. Texts of ASCII and western letters alone, where both patterns agree, take the faster engine."""
+    return (_every if _beyond_western(text) else _western)(text)
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in vocabulary files: itself, or the next from 256 on."""
@@ -62,7 +73,6 @@ class ByteBPE:
         for s, i in self.added.items():
             self.strings[i] = s.encode()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pieces = regex.compile(PATTERN).findall
         self.kept: dict[str, array] = {}
 
     def merge(self, piece: bytes) -> array:
@@ -102,7 +112,7 @@ class ByteBPE:
             if cut and part in self.added:
                 out.append(self.added[part])
                 continue
-            for piece in self.pieces(part):
+            for piece in pieces(part):
                 ids = kept.get(piece)
                 if ids is None:
                     ids = self.merge(piece.encode())
