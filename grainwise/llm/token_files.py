@@ -15,33 +15,47 @@ that a task that runs twice leaves at most a file that nobody reads.
 from __future__ import annotations
 
 import json
+import sys
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import PATTERN, byte_alphabet
+from .bpe import byte_alphabet, pieces
 
 MAGIC = b"GWTOKEN1"
 #: Pieces whose ids a worker keeps; when there are more it begins anew.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
+
+
+class Pieces(dict):
+    """Ids of pieces as the library's model gives them, each asked for once while it is remembered."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+        self.shown = dict(enumerate(byte_alphabet()))
+
+    def __missing__(self, piece: str) -> bytes:
+        tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+        self[piece] = ids = array("I", [t.id for t in tokens]).tobytes()
+        return ids
 
 
 class LibraryEncoder:
-    """The tokenizers library over whole texts, each distinct piece encoded once while it is remembered.
+    """The tokenizers library over whole texts.
 
-    A plain byte-level BPE file encodes a text piece by piece, so the ids of a text are its pieces' ids. Pieces of a space and letters
-    are handed to the library joined, which it cuts at the same places again; other pieces, and whole texts that hold an added
-    token's string, go as they are. A file of another kind gets whole texts only.
+    A plain byte-level BPE file encodes a text piece by piece, so the ids of a text are its pieces' ids: each distinct piece goes to
+    the library's model once while it is remembered. Texts that hold an added token's string, and all texts under a file of another
+    kind, go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -53,44 +67,17 @@ class LibraryEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
-        self.by_piece = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and not spec["normalizer"] and not spec["model"].get("dropout")
+        plain = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and not spec["normalizer"] and not spec["model"].get("dropout")
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.pieces = regex.compile(PATTERN).findall
-        self.plain = regex.compile(r" \p{L}+").fullmatch
-        to_byte = {c: b for b, c in enumerate(byte_alphabet())}
-        self.width = np.zeros(self.library.get_vocab_size(), np.int64)
-        if self.by_piece:
-            for s, i in spec["model"]["vocab"].items():
-                self.width[i] = sum(c in to_byte for c in s)
-        self.kept: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        plain, other = [], []
-        for piece in pieces:
-            (plain if self.plain(piece) else other).append(piece)
-        if plain:
-            ids = self.whole(["".join(plain)])[0]
-            ends = np.searchsorted(np.cumsum(self.width[np.frombuffer(ids, "<u4")]), np.cumsum([len(p.encode()) for p in plain])) + 1
-            start = 0
-            for piece, end in zip(plain, (ends * 4).tolist(), strict=True):
-                self.kept[piece] = ids[start:end]
-                start = end
-        self.kept.update(zip(other, self.whole(other), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text as little-endian unsigned 32-bit integers."""
-        if not self.by_piece:
-            return self.whole(texts)
+        self.kept = Pieces(self.library.model) if plain and array("I").itemsize == 4 and sys.byteorder == "little" else None
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        if self.kept is None or any(s in text for s in self.added):
+            return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
-        whole = [any(s in t for s in self.added) for t in texts]
-        cut = [() if w else self.pieces(t) for t, w in zip(texts, whole, strict=True)]
-        self.learn({p for c in cut for p in c} - self.kept.keys())
-        get = self.kept.__getitem__
-        return [self.whole([t])[0] if w else b"".join(map(get, c)) for t, w, c in zip(texts, whole, cut, strict=True)]
+        return b"".join(map(self.kept.__getitem__, pieces(text)))
 
 
 @lru_cache(1)
@@ -219,8 +206,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
                 store.create_dir(root, recursive=True)
                 bpe, file = encoder(tokenizer), store.open_output_stream(f"{root}/{name}")
                 out = ShardWriter(file, kind, block_ids, -1 if end_id is None else end_id)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                out.add(doc_id, ids + end)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out.add(doc_id, bpe.encode(text.as_py() or "") + end)
         if out is not None:
             out.close()
             file.close()
