@@ -208,20 +208,20 @@ for _m in ("row_number", "rank", "dense_rank"):
 
 def window(name: str, sql: str, function: str, args: tuple = (), order: tuple = ("ts",), frame: tuple | None = None, partition: tuple = ("user_id",)) -> None:
     w = f"PARTITION BY {', '.join(partition)}" + (f" ORDER BY {', '.join(order)}" if order else "")
-    simple(name, f"SELECT event_id, {sql.format(w=w)} AS x FROM events", lambda r: R.project(R.windows(r, [R.WindowField("x", function, args, partition, order, frame)]), ["event_id", "x"]))
+    simple(name, f"SELECT event_id, {sql.format(w=w)} AS x FROM events", lambda r: R.project(R.windows(r, [R.WindowField("x", function, tuple(C(a) if isinstance(a, str) else a for a in args), partition, order, frame)]), ["event_id", "x"]))
 
 
 window("win_percent_rank", "round(percent_rank() OVER ({w}), 6) + 0.0", "percent_rank", order=("value",))
 window("win_cume_dist", "round(cume_dist() OVER ({w}), 6) + 0.0", "cume_dist", order=("value",))
-window("win_lag_default", "round(lag(value, 2, -1) OVER ({w}), 6) + 0.0", "lag", (C("value"), 2, -1.0))
-window("win_lead", "round(lead(value) OVER ({w}), 6) + 0.0", "lead", (C("value"),))
-window("win_sum_partition", "round(sum(value) OVER ({w}), 6) + 0.0", "sum", (C("value"),), ())
+window("win_lag_default", "round(lag(value, 2, -1) OVER ({w}), 6) + 0.0", "lag", ("value", 2, -1.0))
+window("win_lead", "round(lead(value) OVER ({w}), 6) + 0.0", "lead", ("value",))
+window("win_sum_partition", "round(sum(value) OVER ({w}), 6) + 0.0", "sum", ("value",), ())
 window("win_count_star", "count(*) OVER ({w})", "count", (), ())
-window("win_running_range_default", "round(sum(value) OVER ({w}), 6) + 0.0", "sum", (C("value"),))
-window("frame_preceding", "round(avg(value) OVER ({w} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) + 0.0", "avg", (C("value"),), frame=(-3, -1))
-window("frame_following", "round(max(value) OVER ({w} ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), 6) + 0.0", "max", (C("value"),), frame=(1, 4))
-window("frame_centered", "round(min(value) OVER ({w} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) + 0.0", "min", (C("value"),), frame=(-2, 2))
-window("frame_unbounded", "count(value) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", "count", (C("value"),), frame=(None, None))
+window("win_running_range_default", "round(sum(value) OVER ({w}), 6) + 0.0", "sum", ("value",))
+window("frame_preceding", "round(avg(value) OVER ({w} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) + 0.0", "avg", ("value",), frame=(-3, -1))
+window("frame_following", "round(max(value) OVER ({w} ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), 6) + 0.0", "max", ("value",), frame=(1, 4))
+window("frame_centered", "round(min(value) OVER ({w} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) + 0.0", "min", ("value",), frame=(-2, 2))
+window("frame_unbounded", "count(value) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", "count", ("value",), frame=(None, None))
 
 # Sequences
 
