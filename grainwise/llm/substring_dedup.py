@@ -31,7 +31,7 @@ from . import common
 from .suffix_array import common_prefixes, suffix_array
 
 #: Bytes whose anchors are sought at once, and bytes of windows in a shard, about.
-PIECE, SHARD = 1 << 20, 1 << 21
+PIECE, SHARD = 1 << 20, 1 << 22
 #: Differing windows of an anchor from which it is dealt anew.
 HOT_WINDOWS = 20_000
 
@@ -234,15 +234,15 @@ RUN = "doc long, tie long, first long, last long"
 
 def later_strings(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(window, offset) of every string of the shard's windows that equals an earlier one."""
-    sizes = np.array(list(map(len, data)), np.int64)
-    ends = np.cumsum(sizes + 1)
-    s = np.zeros(int(ends[-1]) + 1, np.uint16)
-    window = np.repeat(np.arange(len(data)), sizes + 1)
-    offset = np.arange(len(window)) - np.repeat(ends - sizes - 1, sizes + 1)
+    sizes = np.array(list(map(len, data)), np.int32)
+    ends = np.cumsum(sizes + 1, dtype=np.int32)
+    s = np.zeros(int(ends[-1]) + 1, np.uint8)  # no byte of UTF-8 is above 0xF4: two more values fit
+    window = np.repeat(np.arange(len(data), dtype=np.int32), sizes + 1)
+    offset = np.arange(len(window), dtype=np.int32) - np.repeat(ends - sizes - 1, sizes + 1)
     s[:-1] = np.frombuffer(b"\0".join([*data, b""]), np.uint8)
     s[:-1] += 2
     s[ends - 1] = 1  # between windows; the end is 0
-    room = np.append(np.repeat(sizes, sizes + 1) - offset, 0)
+    room = np.append(np.repeat(sizes, sizes + 1) - offset, np.int32(0))
     sa = suffix_array(s)
     equal = common_prefixes(s, sa, room)[sa] >= length
     group = np.cumsum(~equal)
@@ -275,20 +275,25 @@ def runs(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, w: np.ndarray, o:
 def search_shards(length: int):
     """From windows with their bytes, sorted by anchor: the runs of strings that also start earlier."""
 
-    def one(tables: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(tables)
+    def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
         doc, tie, place = (t.column(c).to_numpy() for c in ("doc", "tie", "place"))
         w, o = later_strings(doc, tie, place >> 16, t.column("bytes").to_pylist(), length)
         return runs(doc, tie, place >> 16, w, o)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = [], 0
-        for group in common.groups_in_order(batches, ["anchor"]):
-            shard.append(group)
-            held += group.nbytes
-            if held >= SHARD:
-                yield one(shard)
-                shard, held = [], 0
+        shard, held, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor = batch.column(0).to_numpy()
+            if held >= SHARD and (other := np.flatnonzero(anchor != last)).size:  # full: it ends with its last anchor
+                cut = int(other[0])
+                yield one([*shard, batch.slice(0, cut)])
+                shard, held, batch = [], 0, batch.slice(cut)
+            shard.append(batch)
+            held += batch.nbytes
+            last = anchor[-1]
         if shard:
             yield one(shard)
 

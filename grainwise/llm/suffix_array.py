@@ -17,74 +17,83 @@ MOST_NAMES = 1 << 11
 def classify(s: np.ndarray) -> np.ndarray:
     """Which suffixes are of type S. s ends with its only smallest value."""
     n = len(s)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(s[1:].astype(np.int64) - s[:-1])
-    step[-1] = 1
-    at = np.where(step != 0, np.arange(n), n)
+    step = np.ones(n, np.int8)
+    step[:-1] = (s[1:] > s[:-1]).astype(np.int8) - (s[1:] < s[:-1])
+    at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     nearest = np.minimum.accumulate(at[::-1])[::-1]
     return step[nearest] > 0
 
 
-def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The suffix array that follows from LMS suffixes in the given order. heads, ends: of the buckets."""
-    n, k = len(s), len(heads)
-    sa = np.full(n, -1, np.int32)
-    seeds = np.bincount(s[lms], minlength=k)
-    first = np.concatenate(([0], np.cumsum(seeds)))
-    by_bucket = lms[np.argsort(s[lms], kind="stable")]
-    used = np.flatnonzero(ends > heads)
-
-    nxt = heads.copy()
-
-    def to_left(batch: np.ndarray) -> None:
-        j = batch[batch > 0] - 1
-        j = j[~is_s[j]]
-        if len(j):
-            c = s[j]
-            order = np.argsort(c, kind="stable")
-            j, c = j[order], c[order]
-            lead = np.concatenate(([0], np.flatnonzero(c[1:] != c[:-1]) + 1))
-            size = np.diff(np.append(lead, len(c)))
-            b = c[lead]
-            sa[np.repeat(nxt[b] - lead, size) + np.arange(len(c))] = j
-            nxt[b] += size
-
-    for b in used.tolist():
-        done = heads[b]
-        while done < nxt[b]:
-            upto = nxt[b]
-            to_left(sa[done:upto])
-            done = upto
-        if first[b] < first[b + 1]:
-            to_left(by_bucket[first[b] : first[b + 1]])
-
-    last = ends.copy()  # one past the place of the next S suffix of a bucket
-
-    def to_right(batch: np.ndarray) -> None:
-        j = batch[batch > 0] - 1
-        j = j[is_s[j]]
+class Inducer:
+    """The inducing scans over one string."""
+
+    def __init__(self, s: np.ndarray, is_s: np.ndarray, sizes: np.ndarray):
+        self.s, self.n, self.k = s, len(s), len(sizes)
+        self.ends = np.cumsum(sizes).astype(np.int32)
+        self.heads = (self.ends - sizes).astype(np.int32)
+        self.used = np.flatnonzero(sizes)
+        self.count = np.arange(self.n, dtype=np.int32)
+        # What stands to the left of each place: its character, with a mark if it is of type S. Place 0 has none.
+        self.left = np.empty(self.n, np.uint16 if self.k < 1 << 14 else np.uint32)
+        self.left[0] = 1
+        self.left[1:] = s[:-1]
+        self.left[1:] <<= 1
+        self.left[1:] |= is_s[:-1]
+
+    def _place(self, sa: np.ndarray, j: np.ndarray, c: np.ndarray, at: np.ndarray, step: int) -> None:
+        """Put places j with characters c into their buckets, from at on in direction step."""
+        if self.k <= 256:
+            c = c.astype(np.uint8)
+        order = np.argsort(c, kind="stable")
+        j, c = j[order], c[order]
+        lead = np.concatenate(([0], np.flatnonzero(c[1:] != c[:-1]) + 1))
+        size = np.diff(np.append(lead, len(c))).astype(np.int32)
+        lead = lead.astype(np.int32)
+        b = c[lead]
+        where = np.repeat(at[b] - step * lead, size)
+        where += self.count[: len(c)] if step > 0 else -self.count[: len(c)]
+        sa[where] = j
+        at[b] += step * size
+
+    def __call__(self, lms: np.ndarray) -> np.ndarray:
+        """The suffix array that follows from LMS suffixes in the given order."""
+        sa = np.full(self.n, -1, np.int32)
+        c = self.s[lms]
+        first = np.concatenate(([0], np.cumsum(np.bincount(c, minlength=self.k)))).tolist()
+        seeds = lms[np.argsort(c, kind="stable")]
+        heads, ends, left = self.heads, self.ends, self.left
+        nxt = heads.copy()
+        for b in self.used.tolist():
+            done = int(heads[b])
+            while done < nxt[b]:
+                upto = int(nxt[b])
+                self._spread(sa, sa[done:upto], left, 0, nxt, 1)
+                done = upto
+            if first[b] < first[b + 1]:
+                self._spread(sa, seeds[first[b] : first[b + 1]], left, 0, nxt, 1)
+        last = ends - 1
+        end = int(self.s[-1])  # the end itself is the only suffix of its bucket and no suffix induces it
+        sa[heads[end]] = self.n - 1
+        last[end] = heads[end] - 1
+        for b in self.used[::-1].tolist():
+            done = int(ends[b])
+            while done > last[b] + 1:
+                upto = int(last[b]) + 1
+                self._spread(sa, sa[upto:done][::-1], left, 1, last, -1)
+                done = upto
+            if heads[b] < nxt[b]:
+                self._spread(sa, sa[heads[b] : nxt[b]][::-1], left, 1, last, -1)
+        return sa
+
+    def _spread(self, sa: np.ndarray, batch: np.ndarray, left: np.ndarray, kind: int, at: np.ndarray, step: int) -> None:
+        """Induce the left neighbours of a batch that are of type S (kind 1) or L (kind 0)."""
+        before = left[batch]
+        mine = (before & 1) == kind
+        if kind:
+            mine &= batch > 0
+        j = batch[mine]
         if len(j):
-            c = s[j]
-            order = np.argsort(c, kind="stable")
-            j, c = j[order], c[order]
-            lead = np.concatenate(([0], np.flatnonzero(c[1:] != c[:-1]) + 1))
-            size = np.diff(np.append(lead, len(c)))
-            b = c[lead]
-            sa[np.repeat(last[b] - 1 + lead, size) - np.arange(len(c))] = j
-            last[b] -= size
-
-    for b in used[::-1].tolist():
-        done = ends[b]
-        if b == int(s[-1]):  # the end itself is the only suffix of its bucket that no suffix induces
-            sa[heads[b]] = n - 1
-            last[b] = heads[b]
-        while done > last[b]:
-            upto = last[b]
-            to_right(sa[upto:done][::-1])
-            done = upto
-        if heads[b] < nxt[b]:
-            to_right(sa[heads[b] : nxt[b]][::-1])
-    return sa
+            self._place(sa, j - 1, before[mine] >> 1, at, step)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -92,13 +101,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 3:
         return np.arange(n, dtype=np.int32)[::-1].copy()
-    k = int(s.max()) + 1
-    sizes = np.bincount(s, minlength=k)
-    ends = np.cumsum(sizes)
-    heads = ends - sizes
     is_s = classify(s)
+    induce = Inducer(s, is_s, np.bincount(s))
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]).astype(np.int32) + 1
-    order = _induce(s, is_s, lms, heads, ends)
+    order = induce(lms)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ranked = order[is_lms[order]]
@@ -121,7 +127,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     reduced = names[lms]
     top = int(reduced.max()) + 1
     if top == len(lms):
-        return _induce(s, is_s, ranked, heads, ends)
+        return induce(ranked)
     if top <= MOST_NAMES:
         places = suffix_array(reduced)
     else:
@@ -131,7 +137,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         digits[:-1:2], digits[1::2], digits[-1] = reduced // base + 1, reduced % base + 1, 0
         places = suffix_array(digits)
         places = places[(places % 2 == 0) & (places < 2 * len(reduced))] // 2
-    return _induce(s, is_s, lms[places], heads, ends)
+    return induce(lms[places])
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -141,15 +147,15 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, room: np.ndarray) -> np.ndarr
     neighbours differ, are compared; along the places after such a one the common prefix falls by one each (permuted order).
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     irreducible = (before <= 0) | (at == 0)
-    inner = np.flatnonzero(~irreducible)
+    inner = np.flatnonzero(~irreducible).astype(np.int32)
     p, q = inner, before[inner]
     irreducible[inner] = (s[p - 1] != s[q - 1]) | (room[p - 1] != room[p] + 1) | (room[q - 1] != room[q] + 1)
-    starts = np.flatnonzero(irreducible)
-    plcp = np.zeros(n, np.int64)
+    starts = np.flatnonzero(irreducible).astype(np.int32)
+    plcp = np.zeros(n, np.int32)
     alive = starts[before[starts] >= 0]
     most = np.minimum(room[alive], room[before[alive]])
     done = 0
@@ -160,5 +166,5 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, room: np.ndarray) -> np.ndarr
         plcp[alive[keep]] = done + 1
         alive, most = alive[keep], most[keep]
         done += 1
-    lead = starts[np.searchsorted(starts, at, "right") - 1]
+    lead = np.maximum.accumulate(np.where(irreducible, at, np.int32(0)))
     return np.maximum(0, np.minimum(plcp[lead] - (at - lead), room))
