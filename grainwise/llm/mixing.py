@@ -4,8 +4,8 @@ Each source gets a share of the words of the corpus (targets()); its documents a
 each. The expected copies are summed along the documents of the source, large documents first, one random offset is
 added, and a document is emitted once for each whole number that the sum crosses on it.
 
-The sums run over blocks, so that no source meets in one task: documents fall into blocks of their source by size and
-by a hash, blocks are summed first (one small row each), and within a block a window goes on from the block's sum.
+The sums run over blocks, so that no source meets in one task: documents fall into levels of their source by size and, within a
+level, into blocks by a hash. Levels and blocks are summed first (one small row each), and within a block a window goes on from there.
 Expected copies are fixed-point numbers (2**-24), which add up alike in any order: reruns agree.
 """
 
@@ -18,6 +18,7 @@ from . import common
 
 #: Binary places of expected copies.
 PLACES = 24
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def words(text: Column) -> Column:
@@ -45,7 +46,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most
     return s.select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 42, block_rows: int = 65536) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 42, block_rows: int = 1000) -> DataFrame:
     """Rows of docs with how often the mix takes each.
 
     docs needs doc_id, text and source. Added: size (words of the text), source_size, target (of its source), copies
@@ -54,32 +55,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     texts' hash (rows alike in all of this can change places, which changes nothing). A source without words has target
     0 and gives no copies. No rows give no rows.
     """
-    own = ["size", "source_size", "target", "copies", "taken"]
+    own = list(ADDED)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
-    tie, at, level, part, src, doc = common.fresh(docs.columns, "tie", "at", "level", "part", "src", "doc")
+    tie, at, level, part, src, doc, its_level, its_part = common.fresh(docs.columns, "tie", "at", "level", "part", "src", "doc", "its_level", "its_part")
     rows = docs.withColumns({"size": words(F.col("text")), tie: F.xxhash64("doc_id", "text")})
-    # Sizes by eighths of a power of two, the largest first; within one, by hash into blocks.
-    rows = rows.withColumn(level, -F.floor(F.log2(F.col("size") + F.lit(1.0)) * 8).cast("int"))
-    total = common.materialise(rows.groupBy("source", level).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mix-levels")
-    parts = max(1, -(-(total.agg(F.sum("n")).first()[0] or 0) // block_rows))
-    rows = rows.withColumn(part, F.pmod(F.col(tie), F.lit(parts)).cast("int"))
+    # Sizes by eighths of a power of two, the largest first; not null, else Spark would count words twice to see that.
+    rows = rows.withColumn(level, F.coalesce(-F.floor(F.log2(F.col("size") + F.lit(1.0)) * 8).cast("int"), F.lit(0)))
+    slim = common.materialise(rows.select("source", level, tie, "size"), "mix-sizes")
+    total = common.materialise(slim.groupBy("source", level).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mix-levels")
+    parts = max(1, -(-(total.agg(F.max("n")).first()[0] or 0) // block_rows))
+    of = F.pmod(F.col(tie), F.lit(parts)).cast("int").alias(part)
+    rows = rows.select("*", of)
     goal = targets(total.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     goal = goal.withColumn("expected", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double")) * (1 << PLACES)), F.lit(0)).cast("long"))
-    if parts == 1:
-        blocks = total.select("source", level, F.lit(0).alias(part), "n")
-    else:
-        blocks = rows.groupBy("source", level, part).agg(F.count(F.lit(1)).alias("n"))
-    along = Window.partitionBy("source").orderBy(level, part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.withColumn("before", F.sum("n").over(along) - F.col("n"))
-    plan = blocks.alias("b").join(goal.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source")))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = total.select(F.col("source").alias(src), F.col(level).alias(its_level), (F.sum("n").over(upto(Window.partitionBy("source").orderBy(level))) - F.col("n")).alias("above"))
+    blocks = slim.groupBy("source", level, of).agg(F.count(F.lit(1)).alias("n"))
+    blocks = blocks.withColumn("before", F.sum("n").over(upto(Window.partitionBy("source", level).orderBy(part))) - F.col("n"))
+    plan = blocks.join(levels, F.col("source").eqNullSafe(F.col(src)) & (F.col(level) == F.col(its_level))).drop(src, its_level)
+    plan = plan.alias("b").join(goal.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source")))
     plan = plan.select(
-        F.col("b.source").alias(src), F.col(f"b.{level}").alias(f"{level}_"), F.col(f"b.{part}").alias(f"{part}_"), "source_size", "target", F.col("expected").alias(doc),
-        (F.col("before") * F.col("expected") + offset_of("b.source", seed)).alias(at),
-    )
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col(src)) & (F.col(level) == F.col(f"{level}_")) & (F.col(part) == F.col(f"{part}_")))
+        F.col("b.source").alias(src), F.col(f"b.{level}").alias(its_level), F.col(f"b.{part}").alias(its_part), "source_size", "target", F.col("expected").alias(doc),
+        ((F.col("above") + F.col("before")) * F.col("expected") + offset_of("b.source", seed)).alias(at),
+    )
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col(src)) & (F.col(level) == F.col(its_level)) & (F.col(part) == F.col(its_part)))
     block = Window.partitionBy("source", level, part).orderBy(F.col("size").desc(), F.col("doc_id"), F.col(tie)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col(at) + F.sum(doc).over(block)
-    crossed = F.shiftright(upto, PLACES) - F.shiftright(upto - F.col(doc), PLACES)
+    total_so_far = F.col(at) + F.sum(doc).over(block)
+    crossed = F.shiftright(total_so_far, PLACES) - F.shiftright(total_so_far - F.col(doc), PLACES)
     return joined.withColumn("copies", crossed).withColumn("taken", F.col("copies") * F.col("size")).select(*[F.col(f"`{c}`") for c in docs.columns], *own)
 
 
@@ -94,5 +96,13 @@ def emit(mixed: DataFrame) -> DataFrame:
     return mixed.where("copies > 0").withColumn(turn, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(turn)
 
 
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The rows that the mix of docs takes, repeats included, with the columns of docs as they were; how: as in mix()."""
+    clash = [c for c in docs.columns if c.lower() in ADDED]
+    away = dict(zip(clash, common.fresh(docs.columns, *[f"own_{c}" for c in clash]), strict=True))
+    out = emit(mix(docs.withColumnsRenamed(away), **how))
+    return out.select(*[F.col(f"`{away.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
