@@ -23,14 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
     seen = signature(now)
     while seen[0]:
         sym = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # As a table of its own, so that Spark can split a node with very many neighbours in the join.
+        least = common.materialise(sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least-neighbours")
         large = sym.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = common.materialise(large.where("a <> b").distinct(), "large-star")
         # Now every pair points from the larger node (a) to the smaller (b).
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        smallest = common.materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least-smaller")
+        small = large.join(smallest.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(smallest.select("a", F.col("m").alias("b")))
         new = common.materialise(small.where("a <> b").select(*both).distinct(), "small-star")
-        common.discard(now, large)
+        common.discard(now, large, least, smallest)
         now, before, seen = new, seen, signature(new)
         if seen == before:
             break
