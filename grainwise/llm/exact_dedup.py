@@ -1,13 +1,14 @@
 """Exact deduplication against a persistent digest index, bucketed and sorted by hash.
 
-The index is a table with one row per distinct text: its SHA-256, the doc_id of the row that stays and the number of
-rows seen when the text came in. New documents are grouped by digest, taken against the index with a sort-merge
+The index is a table with one row per distinct text: its SHA-256, the doc_id of the row that stays, the number of rows
+seen when the text came in and the batch it came with. New documents are grouped by digest, taken against the index with a sort-merge
 anti-join (the index is bucketed by digest, so that only the new digests are shuffled) and what is new is appended.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,24 +37,30 @@ class DigestIndex:
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = f"digest_index_{hashlib.sha1(path.encode()).hexdigest()[:16]}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
             f"OPTIONS (compression 'zstd') CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, digests: DataFrame) -> None:
-        """Append the digests that the index lacks. digests: (doc_id, digest); of equal ones the largest doc_id stays.
+    def entries(self) -> DataFrame:
+        """The same rows as plain files, for joins whose many rows of one digest Spark shall split: it can't do so with a bucketed side."""
+        return self.spark.read.schema(self.rows().schema).parquet(self.path)
+
+    def add(self, digests: DataFrame) -> str:
+        """Append the digests that the index lacks and return the batch's name. digests: (doc_id, digest); of equal ones the largest doc_id stays.
 
         A digest that is there already keeps its first entry, so that adding the same batch twice changes nothing.
         """
         groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         new = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        new = common.materialise(new.select("digest", "keep_id", "group_size"), "new-digests")  # a job can't read the table that it appends to
+        batch = uuid.uuid4().hex
+        new = common.materialise(new.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch")), "new-digests")  # a job can't read the table that it appends to
         new.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").option("path", self.path).option("compression", "zstd").mode("append").saveAsTable(self.table)
         common.discard(new)
         self.spark.catalog.refreshTable(self.table)
+        return batch
 
 
 def classify(docs: DataFrame, index: DigestIndex, how: str = "none") -> DataFrame:
@@ -67,16 +74,12 @@ def classify(docs: DataFrame, index: DigestIndex, how: str = "none") -> DataFram
     kept. A text that the index had before keeps its older entry and every row of docs with it is dropped. No rows
     give no rows.
     """
-    before = index.rows().select("digest", F.lit(True).alias("_old"))
     digests = common.materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text"), how).alias("digest")), "digests")
-    old = common.materialise(digests.select("digest").distinct().join(before.hint("merge"), "digest", "left_semi"), "known-digests")
-    index.add(digests)
+    batch = index.add(digests)
     twin = Window.partitionBy("digest", "doc_id").orderBy("doc_id")
-    rows = digests.withColumn("_twin", F.row_number().over(twin))
-    entries = index.rows().hint("merge")
-    joined = rows.join(entries, "digest").join(old.withColumn("_old", F.lit(True)), "digest", "left")
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_twin") == 1) & F.col("_old").isNull()
-    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = common.materialise(digests.withColumn("_twin", F.row_number().over(twin)), "numbered-digests")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_twin") == 1) & (F.col("batch") == batch)
+    return rows.join(index.entries().hint("merge"), "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None, how: str = "none") -> DataFrame:
