@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 from .suffix_array import common_prefixes, suffix_array
 
-#: Bytes whose anchors are sought at once, and bytes of windows in a shard, about.
-PIECE, SHARD = 1 << 20, 1 << 22
+#: Bytes whose anchors are sought at once, bytes of windows that are looked through at once, and bytes of windows in a shard, about.
+PIECE, PART, SHARD = 1 << 18, 1 << 20, 1 << 21
 #: Differing windows of an anchor from which it is dealt anew.
 HOT_WINDOWS = 20_000
 
@@ -58,7 +58,7 @@ def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
 
 
 def windows(text: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Windows of documents in a row: anchor hash, content fingerprint, start and number of strings of each.
+    """Windows of documents in a row: anchor hash, content fingerprint, start, anchor's place and number of strings of each.
 
     starts: where each document begins in text, and the end. A window of k strings from start is k + length - 1 bytes long.
     """
@@ -85,7 +85,7 @@ def windows(text: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tup
     print_ = (place[first] - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)
     for i in range(0, int(size.max(initial=0)), gram):  # grams that cover the window, the last one ends with it
         print_ = mix(print_ ^ h[first + np.minimum(i, size - gram)])
-    return h[place[first]], print_, first, k
+    return h[place[first]], print_, first, place[first] - first, k
 
 
 def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -113,7 +113,8 @@ def together(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarra
 
 
 NUMBERS = ["anchor", "content", "doc", "tie", "place"]
-#: place holds the window's start and, in its low 16 bits, its number of strings; taken is true where an equal window came before.
+#: place holds the window's start and, in 16 bits each, its anchor's place in it and its number of strings; taken is true where an equal
+#: window came before.
 WINDOW = "anchor long, content long, doc long, tie long, place long, taken boolean"
 
 
@@ -128,10 +129,10 @@ def find_windows(length: int, gram: int):
             texts = [(t.as_py() or "").encode() for t in batch.column(2)]
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for text, starts, number, at in pieces(texts, length):
-                anchor, content, first, k = windows(text, starts, length, gram)
+                anchor, content, first, off, k = windows(text, starts, length, gram)
                 part = np.searchsorted(starts, first, "right") - 1
                 n = number[part]
-                for column, x in zip(out, (anchor.view(np.int64), content.view(np.int64), doc[n], tie[n], ((at[part] + first - starts[part]) << 16) + k), strict=True):
+                for column, x in zip(out, (anchor.view(np.int64), content.view(np.int64), doc[n], tie[n], ((at[part] + first - starts[part]) << 32) + (off << 16) + k), strict=True):
                     column.append(x)
             if not out[0]:
                 continue
@@ -209,7 +210,7 @@ def cut_windows(length: int):
             for doc, tie, text, found in zip(*(batch.column(i) for i in range(4)), strict=True):
                 data, doc, tie = (text.as_py() or "").encode(), doc.as_py(), tie.as_py()
                 for w in found.as_py():
-                    start, k = w["place"] >> 16, w["place"] & 0xFFFF
+                    start, k = w["place"] >> 32, w["place"] & 0xFFFF
                     for column, x in zip(rows, (w["anchor"], doc, tie, w["place"], data[start : start + k + length - 1]), strict=True):
                         column.append(x)
                     if len(rows[0]) >= 8192:
@@ -272,30 +273,65 @@ def runs(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, w: np.ndarray, o:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[own], tie[own], start[own] + o[first], start[own] + o[last])], names=["doc", "tie", "first", "last"])
 
 
-def search_shards(length: int):
+def promising(anchor: np.ndarray, off: np.ndarray, data: list[bytes], length: int, gram: int) -> np.ndarray:
+    """Which windows can share a string with another: a string has at least half of its bytes outside the anchor on one side of it, so that
+    windows that share one are equal in the anchor and that many bytes to its left, or to its right."""
+    side = (length - gram + 1) // 2
+    sizes = np.array(list(map(len, data)))
+    at = np.cumsum(sizes) - sizes + off
+    h = gram_hashes(np.frombuffer(b"".join(data), np.uint8), gram + side)
+    own = mix(anchor.view(np.uint64))
+    out = np.zeros(len(data), bool)
+    for there, start in ((off >= side, at - side), (off + gram + side <= sizes, at)):
+        rows = np.flatnonzero(there)
+        _, back, count = np.unique(own[rows] ^ h[start[rows]], return_inverse=True, return_counts=True)
+        out[rows[count[back] > 1]] = True
+    return out
+
+
+def search_shards(length: int, gram: int):
     """From windows with their bytes, sorted by anchor: the runs of strings that also start earlier."""
 
-    def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        doc, tie, place = (t.column(c).to_numpy() for c in ("doc", "tie", "place"))
-        w, o = later_strings(doc, tie, place >> 16, t.column("bytes").to_pylist(), length)
-        return runs(doc, tie, place >> 16, w, o)
+    def search(parts: list[tuple]) -> pa.RecordBatch:
+        doc, tie, start = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        data = [d for p in parts for d in p[3]]
+        return runs(doc, tie, start, *later_strings(doc, tie, start, data, length))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, last = [], 0, None
+    def chosen(batches: list[pa.RecordBatch]) -> tuple | None:
+        t = pa.Table.from_batches(batches)
+        anchor, doc, tie, place = (t.column(c).to_numpy() for c in ("anchor", "doc", "tie", "place"))
+        data = t.column("bytes").to_pylist()
+        rows = np.flatnonzero(promising(anchor, place >> 16 & 0xFFFF, data, length, gram))
+        return (doc[rows], tie[rows], place[rows] >> 32, [data[i] for i in rows.tolist()]) if len(rows) else None
+
+    def whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        part, held, last = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             anchor = batch.column(0).to_numpy()
-            if held >= SHARD and (other := np.flatnonzero(anchor != last)).size:  # full: it ends with its last anchor
+            if held >= PART and (other := np.flatnonzero(anchor != last)).size:  # enough: it ends with its last anchor
                 cut = int(other[0])
-                yield one([*shard, batch.slice(0, cut)])
-                shard, held, batch = [], 0, batch.slice(cut)
-            shard.append(batch)
+                yield [*part, batch.slice(0, cut)]
+                part, held, batch = [], 0, batch.slice(cut)
+            part.append(batch)
             held += batch.nbytes
             last = anchor[-1]
+        if part:
+            yield part
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = [], 0
+        for part in whole_anchors(batches):
+            if (found := chosen(part)) is None:
+                continue
+            shard.append(found)
+            held += sum(map(len, found[3]))
+            if held >= SHARD:
+                yield search(shard)
+                shard, held = [], 0
         if shard:
-            yield one(shard)
+            yield search(shard)
 
     return work
 
@@ -314,7 +350,7 @@ def single_strings(length: int):
                 at = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(k) + k, k) + np.arange(k.sum())
                 h = [gram_hashes(text, length)[at].view(np.int64), mix(gram_hashes(text[::-1].copy(), length)[len(text) - length - at]).view(np.int64)]
                 own = np.repeat(np.arange(i, i + len(data)), k)
-                start = (place[own] >> 16) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                start = (place[own] >> 32) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*h, doc[own], tie[own], start)], names=["h1", "h2", "doc", "tie", "first"])
 
     return work
@@ -376,7 +412,7 @@ def removed_spans(docs: DataFrame, length: int = 100, gram: int = 28, hot_window
     if not 8 <= gram <= length < 1 << 15:
         raise ValueError("gram is from 8 to length")
     spark = docs.sparkSession
-    common.bound_batches(spark)
+    common.bound_batches(spark, megabytes=4)
     docs, repeats = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = docs.select("doc", "tie", "text").mapInArrow(find_windows(length, gram), WINDOW)
     met = found.repartition("anchor").sortWithinPartitions(*NUMBERS).mapInArrow(meet, WINDOW)
@@ -390,9 +426,9 @@ def removed_spans(docs: DataFrame, length: int = 100, gram: int = 28, hot_window
     strings = cut.join(hot, "anchor", "left_semi").mapInArrow(single_strings(length), "h1 long, h2 long, doc long, tie long, first long")
     earliest = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tie", "first")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = strings.join(earliest, ["h1", "h2"]).where(F.struct("doc", "tie", "first") != F.col("e")).select("doc", "tie", "first", F.col("first").alias("last"))
-    start = F.shiftright("place", 16)
+    start = F.shiftright("place", 32)
     whole = met.where("taken").select("doc", "tie", start.alias("first"), (start + F.col("place").bitwiseAND(0xFFFF) - 1).alias("last"))
-    lost = whole.union(cold.mapInArrow(search_shards(length), RUN)).union(again)
+    lost = whole.union(cold.mapInArrow(search_shards(length, gram), RUN)).union(again)
     lost = lost.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>"
     return docs.join(lost, ["doc", "tie"], "left").select("doc_id", "text", "found").mapInArrow(removal(length), schema)
