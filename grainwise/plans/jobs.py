@@ -60,7 +60,7 @@ class Jobs:
         try:
             yield number
         except Exception as e:
-            self.finish(number, str(e)[:500])
+            self.finish(number, str(e)[:500] or type(e).__name__)
             raise
         self.finish(number)
 
