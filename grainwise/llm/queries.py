@@ -22,4 +22,5 @@ QUERIES = {
 
 ORACLE_SQL = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op7_embedding_dedup": embedding_dedup.ORACLE,
 }

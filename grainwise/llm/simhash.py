@@ -277,9 +277,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFra
     from .substring_dedup import keys
 
     groups = common.materialise(similar_documents(docs, similarity, size).where("not kept").select("doc", "tie"), "near-copies")
-    doc, tie = common.fresh(docs.columns, "doc", "tie")
+    doc, tie, its_doc, its_tie = common.fresh(docs.columns, "doc", "tie", "its_doc", "its_tie")
     _, repeats = keys(docs.select("doc_id", "text"))
     own = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), tie: F.xxhash64("text") if repeats else F.lit(0).cast("long")})
-    groups = groups.select(F.col("doc").alias(f"{doc}_"), F.col("tie").alias(f"{tie}_"))
-    out = own.join(groups, (F.col(doc) == F.col(f"{doc}_")) & (F.col(tie) == F.col(f"{tie}_")), "left_anti")
+    groups = groups.select(F.col("doc").alias(its_doc), F.col("tie").alias(its_tie))
+    out = own.join(groups, (F.col(doc) == F.col(its_doc)) & (F.col(tie) == F.col(its_tie)), "left_anti")
     return (out.dropDuplicates([doc, tie]) if repeats else out).select(*[F.col(f"`{c}`") for c in docs.columns])
