@@ -89,20 +89,21 @@ def removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = b
             left.append(text[at:])
             kept = "".join(left)
-            values = (doc_id.as_py(), len(text), len(found) if found.is_valid else 0, len(text) - len(kept), hashlib.sha256(kept.encode()).hexdigest(), kept, [{"start": a, "end": b} for a, b in gone])
+            data, size = kept.encode(), len(text.encode())
+            values = (doc_id.as_py(), size, size - len(data), len(gone), hashlib.sha256(data).hexdigest(), len(found) if found.is_valid else 0, kept, [{"start": a, "end": b} for a, b in gone])
             for column, x in zip(rows, values, strict=True):
                 column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _RESULT.values(), strict=True)], names=list(_RESULT))
 
 
-_RESULT = {"doc_id": pa.int64(), "n_chars": pa.int64(), "n_units_removed": pa.int64(), "n_chars_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+_RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_units_removed": pa.int64(), "kept_text": pa.string(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
 
 
 def remove_repeats(docs: DataFrame, units: tuple[str, ...] = UNITS, min_words: int = 5) -> DataFrame:
     """What every document loses, and what is left.
 
-    docs needs doc_id and text; other columns are ignored. Returns a row for each row of docs: doc_id, n_chars, n_units_removed, n_chars_removed, kept_sha256
-    (of kept_text in UTF-8), kept_text, removed (spans of characters of the original text: start, end).
+    docs needs doc_id and text; other columns are ignored. Returns a row for each row of docs: doc_id, n_bytes and n_removed (of the text in UTF-8), n_spans
+    (maximal runs that go), kept_sha256 (of kept_text in UTF-8), n_units_removed, kept_text, removed (spans of characters of the original text: start, end).
 
     Null and empty texts lose nothing. Null doc_ids rank first; rows of one doc_id rank by their texts' hashes; rows that repeat a doc_id and its text are one
     document, and each gets its result. A unit that repeats within a document is kept once too. No rows give no rows.
@@ -114,7 +115,7 @@ def remove_repeats(docs: DataFrame, units: tuple[str, ...] = UNITS, min_words: i
     found = docs.select("doc", "tie", "text").mapInArrow(find_units(units, min_words), WINDOW)
     lost = found.repartition("anchor").sortWithinPartitions(*NUMBERS).mapInArrow(meet, WINDOW).where("taken")
     lost = lost.groupBy("doc", "tie").agg(F.collect_set("place").alias("found"))
-    schema = "doc_id long, n_chars long, n_units_removed long, n_chars_removed long, kept_sha256 string, kept_text string, removed array<struct<start: long, end: long>>"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_units_removed long, kept_text string, removed array<struct<start: long, end: long>>"
     return docs.join(lost, ["doc", "tie"], "left").select("doc_id", "text", "found").mapInArrow(removal, schema)
 
 

@@ -323,7 +323,7 @@ def test_units(spark, docs, rows, none):
     with pytest.raises(ValueError):
         unit_dedup.remove_repeats(docs, ("page",))
     for units, least in ((unit_dedup.UNITS, 2), (("line",), 1), (("paragraph", "sentence"), 5)):
-        got = Counter((r.doc_id, r.n_chars, r.n_units_removed, r.n_chars_removed, r.kept_text, r.kept_sha256) for r in unit_dedup.remove_repeats(docs, units, least).collect())
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_units_removed, r.n_spans, r.kept_text, r.kept_sha256) for r in unit_dedup.remove_repeats(docs, units, least).collect())
         tie = {t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0] for t in {r[1] for r in rows}}
         want, seen = {}, set()
         for doc, t in sorted({(r[0], r[1]) for r in rows}, key=lambda k: (k[0] is not None, k[0] or 0, tie[k[1]])):
@@ -336,7 +336,8 @@ def test_units(spark, docs, rows, none):
                         gone |= set(range(a, b))
                     seen.add(unit)
             kept = "".join(c for i, c in enumerate(x) if i not in gone)
-            want[doc, t] = (len(x), n, len(gone), kept, hashlib.sha256(kept.encode()).hexdigest())
+            size = len(x.encode())
+            want[doc, t] = (size, size - len(kept.encode()), n, sum(i - 1 not in gone for i in gone), kept, hashlib.sha256(kept.encode()).hexdigest())
         assert got == Counter((r[0], *want[r[0], r[1]]) for r in rows)
     assert unit_dedup.remove_repeats(none).count() == 0
 
