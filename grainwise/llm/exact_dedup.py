@@ -53,12 +53,13 @@ class DigestIndex:
 
         A digest that is there already keeps its first entry, so that adding the same batch twice changes nothing.
         """
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        # As a table of its own: Spark would take the anti-join before the aggregate, and move every row of a text with many copies.
+        groups = common.materialise(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
         new = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         batch = uuid.uuid4().hex
         new = common.materialise(new.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch")), "new-digests")  # a job can't read the table that it appends to
         new.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").option("path", self.path).option("compression", "zstd").mode("append").saveAsTable(self.table)
-        common.discard(new)
+        common.discard(new, groups)
         self.spark.catalog.refreshTable(self.table)
         return batch
 
