@@ -19,11 +19,12 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
 #: Pieces that a worker keeps; when there are more it begins anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 
 #: Fixed value: the published pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -169,16 +170,14 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
                 if with_ids:
                     lists.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (n, first, second)), *([pa.array(lists, pa.list_(pa.int32()))] * with_ids)], schema=out)
-
-    from pyspark.sql import functions as F
+        bpe.kept.clear()
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The texts of encoded rows: doc_id and text, from doc_id and ids (null: empty)."""
-    from pyspark.sql import functions as F
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:

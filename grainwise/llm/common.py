@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,6 +74,13 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system, where its allocator can: a worker goes on to other stages."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def column_values(batch: pa.RecordBatch, i: int, kind=np.int64, null=0) -> np.ndarray:
     """A numeric column as numpy, nulls replaced."""
     return batch.column(i).fill_null(null).to_numpy(zero_copy_only=False).astype(kind, copy=False)

@@ -204,6 +204,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, s
         for batch in batches:
             found = np.array([long_fingerprint(t.as_py(), size, seed) for t in batch.column(2)], np.int64).reshape(-1, LONG_WORDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["doc", "tie", *names])
+        common.release()
 
     every = common.materialise(docs.select("doc", "tie", "text").mapInArrow(prints, rows), "long-fingerprints")
     nodes = every.groupBy(*names).agg(F.min(F.struct("doc", "tie")).alias("first"))
