@@ -154,6 +154,16 @@ def long_fingerprint(text: str | None, size: int, seed: int) -> list[int]:
     return np.packbits(total * 2 > n, axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel().tolist()
 
 
+def shingle_set(text: str | None, size: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(np.concatenate([*shingles(text or "", size, seed), np.zeros(0, np.uint64)]))
+
+
+def set_digest(hashes: np.ndarray) -> list[int]:
+    """128 bits of a shingle set, as signed longs: equal where the sets are."""
+    return np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64).tolist()
+
+
 def remix(x: np.ndarray, k: int) -> np.ndarray:
     x = (x ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
@@ -185,7 +195,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, s
     """Group documents whose shingle sets have at least this Jaccard similarity, directly or through others.
 
     Candidates are pairs of 256-bit fingerprints that agree in a whole segment of some ring and differ in no more bits than such sets' do,
-    with four standard deviations to spare; a pair counts once its shingle sets, compared exactly, are similar enough. With the
+    with four standard deviations to spare; a pair counts once its shingle sets, compared exactly, are similar enough. Only documents with
+    equal sets (by a digest of 128 bits) are one from the start, equal fingerprints are candidates like others. With the
     defaults a pair at similarity 0.8 / 0.85 / 0.9 / 0.95 becomes a candidate with probability of about 0.76 / 0.93 / 0.99 / 1.
 
     docs needs doc_id and text; other columns are ignored. Returns a row for each distinct (doc_id, text): doc, tie (see substring_dedup.keys),
@@ -197,18 +208,18 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, s
     spark = docs.sparkSession
     common.bound_batches(spark)
     docs, repeats = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    names = [f"f{k}" for k in range(LONG_WORDS)]
-    rows = "doc long, tie long, " + ", ".join(f"{n} long" for n in names)
+    names, digest = [f"f{k}" for k in range(LONG_WORDS)], ["s0", "s1"]
+    rows = "doc long, tie long, " + ", ".join(f"{n} long" for n in [*names, *digest])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([long_fingerprint(t.as_py(), size, seed) for t in batch.column(2)], np.int64).reshape(-1, LONG_WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["doc", "tie", *names])
+            found = np.array([(*long_fingerprint(t.as_py(), size, seed), *set_digest(shingle_set(t.as_py(), size, seed))) for t in batch.column(2)], np.int64).reshape(-1, LONG_WORDS + 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["doc", "tie", *names, *digest])
         common.release()
 
     every = common.materialise(docs.select("doc", "tie", "text").mapInArrow(prints, rows), "long-fingerprints")
-    nodes = every.groupBy(*names).agg(F.min(F.struct("doc", "tie")).alias("first"))
-    nodes = common.materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "first.doc", "first.tie", *names), "fingerprint-nodes")
+    nodes = every.groupBy(*digest).agg(F.min(F.struct("doc", "tie")).alias("first"), *[F.first(n).alias(n) for n in names])
+    nodes = common.materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "first.doc", "first.tie", *names, *digest), "set-nodes")
     members = nodes.select("node", F.explode(F.array(*segment_columns(segments, rings, seed))).alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = members.join(shared.select("key"), "key").join(nodes.select("node", *names), "node")
@@ -232,7 +243,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, s
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.concatenate([*shingles(t.as_py() or "", size, seed), np.zeros(0, np.uint64)])).tobytes() for t in batch.column(2)]
+            found = [shingle_set(t.as_py(), size, seed).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["root", "node", "set"])
 
     wanted = clusters.join(nodes.select("node", "doc", "tie"), "node")
@@ -246,11 +257,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, s
 
     linked = blocks.compare(common.materialise(texts.mapInArrow(sets, "root long, node long, set binary"), "shingle-sets"), ["root"], F.xxhash64("node"), block, alike, "a long, b long")
     roots = components(linked)
-    group = common.materialise(nodes.join(roots, "node", "left").select(*names, "doc", "tie", F.coalesce("root", "node").alias("root")), "document-groups")
+    group = common.materialise(nodes.join(roots, "node", "left").select(*digest, "doc", "tie", F.coalesce("root", "node").alias("root")), "document-groups")
     first = group.groupBy("root").agg(F.min(F.struct("doc", "tie")).alias("first"))
-    of = group.select(*names, "root").join(first, "root").select(*names, F.col("first.doc").alias("root_doc"), F.col("first.tie").alias("root_tie"))
+    of = group.select(*digest, "root").join(first, "root").select(*digest, F.col("first.doc").alias("root_doc"), F.col("first.tie").alias("root_tie"))
     whole = every.distinct() if repeats else every
-    return whole.join(of, names).select("doc", "tie", "root_doc", "root_tie", ((F.col("doc") == F.col("root_doc")) & (F.col("tie") == F.col("root_tie"))).alias("kept"))
+    return whole.join(of, digest).select("doc", "tie", "root_doc", "root_tie", ((F.col("doc") == F.col("root_doc")) & (F.col("tie") == F.col("root_tie"))).alias("kept"))
 
 
 def jaccard(sets: list[bytes], one: np.ndarray, two: np.ndarray) -> np.ndarray:

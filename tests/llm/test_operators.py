@@ -259,6 +259,16 @@ def test_similar_documents(spark, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_equal_fingerprints_are_compared(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [words(rng, 1000) + " -" * 134 for _ in range(6)]
+    df = spark.createDataFrame([*enumerate(texts), (6, texts[2].upper())], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(6))
+    # However prints come to be equal.
+    monkeypatch.setattr(simhash, "long_fingerprint", lambda *_: [5] * simhash.LONG_WORDS)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(6))
+
+
 def test_exact_jaccard():
     rng = np.random.default_rng(0)
     sets = [set(rng.integers(0, 40, rng.integers(0, 60)).tolist()) for _ in range(12)] + [set(), set()]
