@@ -143,15 +143,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 LONG_WORDS = 4
 
 
-def long_fingerprint(text: str | None, size: int, seed: int) -> list[int]:
-    """LONG_WORDS fingerprints of independent hashes of the same shingles, as signed longs."""
-    total, n = np.zeros((LONG_WORDS, 64), np.int64), 0
-    for part in shingles(text or "", size, seed):
+def long_fingerprint(hashes: np.ndarray) -> list[int]:
+    """LONG_WORDS fingerprints of independent hashes of a shingle set, as signed longs; repeats don't count, as in the similarity."""
+    total = np.zeros((LONG_WORDS, 64), np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        part = hashes[i : i + (1 << 16)]
         for k in range(LONG_WORDS):
             x = part if not k else remix(part, k)
             total[k] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        n += len(part)
-    return np.packbits(total * 2 > n, axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel().tolist()
+    return np.packbits(total * 2 > len(hashes), axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel().tolist()
 
 
 def shingle_set(text: str | None, size: int, seed: int) -> np.ndarray:
@@ -213,7 +213,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, s
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([(*long_fingerprint(t.as_py(), size, seed), *set_digest(shingle_set(t.as_py(), size, seed))) for t in batch.column(2)], np.int64).reshape(-1, LONG_WORDS + 2)
+            sets = (shingle_set(t.as_py(), size, seed) for t in batch.column(2))
+            found = np.array([(*long_fingerprint(s), *set_digest(s)) for s in sets], np.int64).reshape(-1, LONG_WORDS + 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["doc", "tie", *names, *digest])
         common.release()
 

@@ -269,6 +269,15 @@ def test_equal_fingerprints_are_compared(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(6))
 
 
+def test_repeats_do_not_hide_near_copies(spark):
+    rng = random.Random(9)
+    base = [words(rng, 1000) for _ in range(4)]
+    line = " ".join(base[1].split()[:8])
+    more = [base[0] + " -" * 134, base[1] + f" {line}" * 120, "la " * 300 + base[2], base[3] + " na na hey" * 200]
+    df = spark.createDataFrame([*enumerate(base + more)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(4))
+
+
 def test_exact_jaccard():
     rng = np.random.default_rng(0)
     sets = [set(rng.integers(0, 40, rng.integers(0, 60)).tolist()) for _ in range(12)] + [set(), set()]
