@@ -137,7 +137,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, size=3, distance=2, segments=5).select("doc_id", "fingerprint", "component_id")
 
 
-# Documents of a Jaccard similarity, by long fingerprints: many bits differ there, so that chains alone can't find every pair.
+# Documents of a Jaccard similarity, by long fingerprints: many bits differ there, so that pairs meet by shingles that they share.
 
 #: Bits of a long fingerprint, as 64-bit words.
 LONG_WORDS = 4
@@ -176,28 +176,56 @@ def expected_distance(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def segment_columns(segments: int, rings: int, seed: int) -> list:
-    """Keys of every segment of every ring, each ring a shuffle of all bits: hashes of the segment's bits."""
-    rng = np.random.default_rng(seed)
-    keys = []
-    for ring in range(rings):
-        bits = rng.permutation(64 * LONG_WORDS)
-        for i, part in enumerate(np.array_split(bits, segments)):
-            masks = [0] * LONG_WORDS
-            for b in part.tolist():
-                masks[b // 64] |= 1 << (b % 64)
-            cols = [F.col(f"f{w}").bitwiseAND(F.lit(m - (1 << 64) * (m >> 63))) for w, m in enumerate(masks) if m]
-            keys.append(F.xxhash64(F.lit(ring * segments + i), *cols))
-    return keys
+def most_bits(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Bits in which fingerprints of such similar sets differ at most, by the size of the smaller: small sets differ somewhat more than expected,
+    and six standard deviations are to spare."""
+    p = np.minimum(expected_distance(similarity) * (1 + 2 / np.maximum(sizes, 1)), 0.5)
+    return 64 * LONG_WORDS * p + 6 * np.sqrt(64 * LONG_WORDS * p * (1 - p))
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, segments: int = 11, rings: int = 6, block: int = 512, seed: int = 42) -> DataFrame:
+#: Documents among which frequent shingles are sought, and how many of those are known at most. They order shingles; no result depends on them.
+FREQUENT_SAMPLE, FREQUENT = 4096, 65_536
+
+
+def frequent_shingles(docs: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of shingles that several documents of a sample have, and how many have each."""
+    part = max(1, -(-docs.count() // FREQUENT_SAMPLE))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size, seed).view(np.int64))], names=["h"])
+
+    seen = docs.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(part)) == 0).select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rows = seen.where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, rare ones before frequent ones: so many that sets with this similarity have one of them in common.
+
+    Sets of n shingles and more that are so similar share ceil(similarity * n) of them or more; were there none among the first
+    n - ceil(similarity * n) + 1 of both in one order, too few would be left.
+    """
+    n, (known, count) = len(hashes), frequent
+    if not n:
+        return hashes
+    rank = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, count[at], 0)
+    return hashes[np.argsort(rank, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, block: int = 512, seed: int = 42) -> DataFrame:
     """Group documents whose shingle sets have at least this Jaccard similarity, directly or through others.
 
-    Candidates are pairs of 256-bit fingerprints that agree in a whole segment of some ring and differ in no more bits than such sets' do,
-    with four standard deviations to spare; a pair counts once its shingle sets, compared exactly, are similar enough. Only documents with
-    equal sets (by a digest of 128 bits) are one from the start, equal fingerprints are candidates like others. With the
-    defaults a pair at similarity 0.8 / 0.85 / 0.9 / 0.95 becomes a candidate with probability of about 0.76 / 0.93 / 0.99 / 1.
+    Candidates are pairs that share a shingle of their prefixes, which every such pair does, and whose 256-bit fingerprints differ in no more bits than
+    such sets' do, with six standard deviations to spare (for a pair at 0.8 a chance below 1 in 10 million to be missed); a pair counts once
+    its shingle sets, compared exactly, are similar enough. Only documents with equal sets (by a digest of 128 bits) are one from the
+    start, equal fingerprints are candidates like others.
 
     docs needs doc_id and text; other columns are ignored. Returns a row for each distinct (doc_id, text): doc, tie (see substring_dedup.keys),
     root_doc and root_tie (of the group's first document), kept (it is that one). Null texts count as empty; texts without words are
@@ -209,32 +237,38 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, s
     common.bound_batches(spark)
     docs, repeats = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     names, digest = [f"f{k}" for k in range(LONG_WORDS)], ["s0", "s1"]
-    rows = "doc long, tie long, " + ", ".join(f"{n} long" for n in [*names, *digest])
+    rows = "doc long, tie long, " + ", ".join(f"{n} long" for n in [*names, *digest, "n"]) + ", prefix array<long>"
+    frequent = frequent_shingles(docs, size, seed)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = (shingle_set(t.as_py(), size, seed) for t in batch.column(2))
-            found = np.array([(*long_fingerprint(s), *set_digest(s)) for s in sets], np.int64).reshape(-1, LONG_WORDS + 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["doc", "tie", *names, *digest])
+            found, first = [], []
+            for t in batch.column(2):
+                s = shingle_set(t.as_py(), size, seed)
+                found.append((*long_fingerprint(s), *set_digest(s), len(s)))
+                first.append(prefix(s, similarity, frequent).view(np.int64))
+            ends = np.cumsum([0, *map(len, first)])
+            first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
+            found = np.array(found, np.int64).reshape(-1, LONG_WORDS + 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in found.T), first], names=["doc", "tie", *names, *digest, "n", "prefix"])
         common.release()
 
     every = common.materialise(docs.select("doc", "tie", "text").mapInArrow(prints, rows), "long-fingerprints")
-    nodes = every.groupBy(*digest).agg(F.min(F.struct("doc", "tie")).alias("first"), *[F.first(n).alias(n) for n in names])
-    nodes = common.materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "first.doc", "first.tie", *names, *digest), "set-nodes")
-    members = nodes.select("node", F.explode(F.array(*segment_columns(segments, rings, seed))).alias("key"))
+    nodes = every.groupBy(*digest).agg(F.min(F.struct("doc", "tie")).alias("first"), *[F.first(n).alias(n) for n in [*names, "n", "prefix"]])
+    nodes = common.materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "first.doc", "first.tie", *names, *digest, "n", "prefix"), "set-nodes")
+    members = nodes.select("node", F.explode("prefix").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = members.join(shared.select("key"), "key").join(nodes.select("node", *names), "node")
-    p = expected_distance(similarity)
-    most = int(64 * LONG_WORDS * p + 4 * np.sqrt(64 * LONG_WORDS * p * (1 - p)))
+    members = members.join(shared.select("key"), "key").join(nodes.select("node", F.col("n").alias("size"), *names), "node")
 
     def near(group: pa.Table, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
-        words = [group.column(n).to_numpy().view(np.uint64) for n in names]
-        differ = np.zeros((len(one), len(two)), np.int32)
-        ok = np.ones(differ.shape, bool)
-        for k, w in enumerate(words):  # along the words, each within its part of the budget and four deviations more
+        n = group.column("size").to_numpy()
+        a, b = n[one][:, None], n[two][None, :]
+        ok = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+        differ = np.zeros(ok.shape, np.int32)
+        for w in (group.column(c).to_numpy().view(np.uint64) for c in names):
             differ += np.bitwise_count(w[one][:, None] ^ w[two][None, :])
-            n = 64 * (k + 1)
-            ok &= differ <= (most if k == LONG_WORDS - 1 else n * p + 4 * np.sqrt(n * p * (1 - p)))
+        most = most_bits(n, similarity)
+        ok &= differ <= np.maximum(most[one][:, None], most[two][None, :])
         node = group.column("node").to_numpy()
         x, y = blocks.forest(ok, one, two)
         yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
@@ -261,7 +295,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, s
     group = common.materialise(nodes.join(roots, "node", "left").select(*digest, "doc", "tie", F.coalesce("root", "node").alias("root")), "document-groups")
     first = group.groupBy("root").agg(F.min(F.struct("doc", "tie")).alias("first"))
     of = group.select(*digest, "root").join(first, "root").select(*digest, F.col("first.doc").alias("root_doc"), F.col("first.tie").alias("root_tie"))
-    whole = every.distinct() if repeats else every
+    whole = every.select("doc", "tie", *digest).distinct() if repeats else every.select("doc", "tie", *digest)
     return whole.join(of, digest).select("doc", "tie", "root_doc", "root_tie", ((F.col("doc") == F.col("root_doc")) & (F.col("tie") == F.col("root_tie"))).alias("kept"))
 
 

@@ -278,6 +278,46 @@ def test_repeats_do_not_hide_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(4))
 
 
+def test_pairs_at_the_threshold(spark, monkeypatch):
+    rng = random.Random(10)
+    shingles_of = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def share(a, b):
+        a, b = shingles_of(a.split()), shingles_of(b.split())
+        return len(a & b) / len(a | b)
+
+    common_part, texts, similar = words(rng, 60), [], 0
+    for i in range(150):
+        n = rng.choice((8, 40, 120, 300, 800))
+        a = words(rng, n) if i % 3 else common_part + " " + words(rng, n)
+        want = rng.choice((0.77, 0.81, 0.83))
+        b, k = a, 0
+        while share(a, b) > want + 0.02:
+            k += max(1, n // 100)
+            b = f"{a} {words(rng, k)}" if i % 2 else f"{words(rng, k // 2)} {a} {words(rng, k - k // 2)}"
+        similar += share(a, b) >= 0.8
+        texts += [a, b]
+    assert similar > 80
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    want = [i for i in range(len(texts)) if i % 2 == 0 or share(texts[i - 1], texts[i]) < 0.8]
+    monkeypatch.setattr(simhash, "FREQUENT_SAMPLE", 100)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
+
+
+def test_prefixes_meet():
+    rng = np.random.default_rng(3)
+    known = np.sort(rng.integers(0, 1 << 64, 40, dtype=np.uint64))
+    frequent = known, rng.integers(2, 9, 40)
+    for _ in range(2000):
+        both, own = int(rng.integers(1, 60)), rng.integers(0, 8, 2)
+        pool = np.unique(np.concatenate((rng.choice(known, 20), rng.integers(0, 1 << 64, 90, dtype=np.uint64))))
+        pool = rng.permutation(pool)[: both + own.sum()]
+        a, b = np.sort(pool[: both + own[0]]), np.sort(np.concatenate((pool[:both], pool[both + own[0] :])))
+        for t in (0.5, 0.8, 0.9):
+            if both / len(pool) >= t:
+                assert len(np.intersect1d(simhash.prefix(a, t, frequent), simhash.prefix(b, t, frequent)))
+
+
 def test_exact_jaccard():
     rng = np.random.default_rng(0)
     sets = [set(rng.integers(0, 40, rng.integers(0, 60)).tolist()) for _ in range(12)] + [set(), set()]
