@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, as the session names it. Where it names none, as in tests, a local session gets a temporary
+    folder and any other is refused: executors elsewhere would not see it."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='grainwise-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -32,15 +35,35 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: the lineage ends at files that outlive executors."""
+#: Paths of the tables made inside passing_tables(), innermost last.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def materialise(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: the lineage ends at files that outlive executors. lasting: it stays when
+    passing_tables() ends."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    if not lasting and (made := _passing.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialise() makes inside go at the end: what is still needed then has to be written before, as a lasting one."""
+    mark = _passing.set([])
+    try:
+        yield
+    finally:
+        made = _passing.get()
+        _passing.reset(mark)
+        for path in made or ():
+            delete(spark, path)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by materialise() that nothing reads any more."""
     for df in frames:
@@ -52,11 +75,32 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+_UNIT = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
 def bound_batches(spark: SparkSession, rows: int = 4096, megabytes: int = 8) -> None:
-    """Keep an Arrow batch of long texts small, whatever the number of rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    with contextlib.suppress(Exception):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+    """Keep an Arrow batch of long texts small, whatever the number of rows. The session's bounds are only ever lowered, so that plans which are
+    built now and run later hold no more than they were made for, whatever was called in between."""
+    now = int(spark.conf.get(_ROWS))
+    if now <= 0 or now > rows:
+        spark.conf.set(_ROWS, str(rows))
+    number, unit = re.fullmatch(r"(-?\d+)\s*([bkmgt]?)b?", spark.conf.get(_BYTES).strip().lower()).groups()
+    now = int(number) * _UNIT[unit]
+    if now <= 0 or now > megabytes << 20:
+        spark.conf.set(_BYTES, f"{megabytes}m")
+
+
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 4096, megabytes: int = 8) -> Iterator[None]:
+    """bound_batches() for jobs that run inside; then the session is as it was."""
+    before = {k: spark.conf.get(k) for k in (_ROWS, _BYTES)}
+    bound_batches(spark, rows, megabytes)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
