@@ -46,24 +46,44 @@ def compare(members: DataFrame, keys: list[str], spread: Column, block: int, wor
     return rows.mapInArrow(run, schema)
 
 
-def forest(links: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (positions) that connect what the links connect: one for each node but the first of each component.
-
-    links: a matrix of booleans, rows for the positions one, columns for two.
-    """
-    n = int(max(one.max(), two.max())) + 1
-    label = np.arange(n)
-    r, c = np.nonzero(links)
-    r, c = one[r], two[c]
-    if not len(r):
-        return r, c
+def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect what the edges between positions x and y connect: a pair for each node but the first of each component."""
+    if not len(x):
+        return x, y
+    label = np.arange(int(max(x.max(), y.max())) + 1)
     while True:
         new = label.copy()
-        np.minimum.at(new, r, label[c])
-        np.minimum.at(new, c, label[r])
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
         new = new[new]
         if np.array_equal(new, label):
             break
         label = new
-    moved = np.flatnonzero(label != np.arange(n))
+    moved = np.flatnonzero(label != np.arange(len(label)))
     return moved, label[moved]
+
+
+def spanning(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the edges between positions x and y span what they all connect with the least weight: each component takes its lightest edge outwards,
+    until none is left."""
+    edge = np.argsort(weight, kind="stable")  # of equal weights the first
+    x, y = x[edge], y[edge]
+    n, kept = int(max(x.max(), y.max())) + 1 if len(x) else 0, []
+    label = np.arange(n)
+    while True:
+        a, b = label[x], label[y]
+        out = np.flatnonzero(a != b)
+        if not len(out):
+            return np.unique(np.concatenate([*kept, np.zeros(0, np.int64)]))
+        x, y, edge, a, b = x[out], y[out], edge[out], a[out], b[out]
+        best = np.full(n, len(x))
+        np.minimum.at(best, a, np.arange(len(x)))
+        np.minimum.at(best, b, np.arange(len(x)))
+        own = np.flatnonzero(best < len(x))
+        kept.append(edge[best[own]])
+        to = np.arange(n)
+        to[own] = np.where(a[best[own]] == own, b[best[own]], a[best[own]])
+        to = np.where((to[to] == np.arange(n)) & (np.arange(n) < to), np.arange(n), to)  # two that take the same edge: the smaller leads
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        label = to[label]

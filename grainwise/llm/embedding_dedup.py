@@ -25,6 +25,8 @@ from .components import components
 
 #: Vectors that the trees are fitted on, at most.
 SAMPLE_ROWS = 65_536
+#: Components of those vectors, at most: 32 MB as they come to the driver.
+SAMPLE_COMPONENTS = 1 << 23
 #: Places for a cut that a node tries.
 CUTS = 17
 LEVELS = 24
@@ -111,13 +113,10 @@ class Forest:
         self.n_trees, self.similarity, self.leaf_rows, self.seed = trees, similarity, leaf_rows, seed
         self.trees: dict[tuple[str, int], list[Tree]] = {}
 
-    def fit(self, kinds: list[tuple[str, int]], vectors: list[np.ndarray], share: float) -> Forest:
-        """share: the sample's part of all rows."""
-        groups: dict[tuple[str, int], list[int]] = {}
-        for i, k in enumerate(kinds):
-            groups.setdefault(k, []).append(i)
-        for number, kind in enumerate(sorted(groups)):
-            sample = unit(np.array([vectors[i] for i in groups[kind]]))
+    def fit(self, samples: dict[tuple[str, int], np.ndarray], share: float) -> Forest:
+        """samples: a matrix for each kind; share: the sample's part of all rows."""
+        for number, kind in enumerate(sorted(samples)):
+            sample = unit(samples[kind])
             # Two vectors at the similarity differ by about this along a random direction (one standard deviation); half of it on each side.
             band = 0.5 * float(np.sqrt(2 - 2 * self.similarity)) / np.sqrt(sample.shape[1])
             self.trees[kind] = [grow(sample, np.random.default_rng([self.seed, number, t]), max(8, self.leaf_rows * share), band) for t in range(self.n_trees)]
@@ -136,11 +135,12 @@ class Forest:
         return np.split(leaf[order], np.cumsum(np.bincount(rows, minlength=len(vectors)))[:-1])
 
 
-def near_duplicates(rows: DataFrame, similarity: float = 0.93, trees: int = 6, leaf_rows: int = 256, block: int = 1024, sample_rows: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
+def near_duplicates(rows: DataFrame, similarity: float = 0.93, trees: int = 6, leaf_rows: int = 256, block: int = 1024, sample_rows: int = SAMPLE_ROWS, sample_components: int = SAMPLE_COMPONENTS, seed: int = 42) -> DataFrame:
     """Link vectors of equal label whose cosine is at least similarity and group what links join.
 
     rows needs vec_id, embedding and label; other columns are ignored. Returns a row for each row: vec_id, n_links (other rows linked
-    to it), component_id (smallest vec_id it can reach, itself included), kept (vec_id = component_id).
+    to it), component_id (smallest vec_id it can reach, itself included), kept (vec_id = component_id). The trees are fitted on sample_rows
+    vectors and sample_components of their components at most, whatever the dimension.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without label, link with nothing; so do
     vectors of different dimensions. Rows with equal vectors are linked. Null vec_ids are never smallest (component_id is null, and
@@ -157,11 +157,16 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.93, trees: int = 6, l
     named = every.where("valid").select("vec_id", "embedding", *kind, *key)
     classes = named.groupBy(*by).agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
     classes = common.materialise(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    total = classes.count()
-    share = min(1.0, sample_rows / max(1, total))
-    some = classes.where(F.pmod("h2", F.lit(1 << 40)) < F.lit(int(share * (1 << 40)) + 1)).select("label", "dim", "h1", "h2", "embedding").limit(2 * sample_rows)
-    sample = sorted(some.collect(), key=lambda r: (r.label, r.dim, r.h1, r.h2))
-    forest = Forest(trees, similarity, leaf_rows, seed).fit([(r.label, r.dim) for r in sample], [np.array(r.embedding) for r in sample], share)
+    total = classes.agg(F.count(F.lit(1)).alias("rows"), F.sum("dim").alias("components")).first()
+    share = min(1.0, sample_rows / max(1, total.rows), sample_components / max(1, total.components or 0))
+    some = classes.where(F.pmod("h2", F.lit(1 << 40)) < F.lit(int(share * (1 << 40)) + 1)).select("label", "dim", "h1", "h2", F.col("embedding").cast("array<float>").alias("embedding")).limit(2 * sample_rows)
+    some = some.toArrow().sort_by([(c, "ascending") for c in ("label", "dim", "h1", "h2")])
+    kinds = list(zip(some.column("label").to_pylist(), some.column("dim").to_pylist(), strict=True))
+    at = [i for i, k in enumerate(kinds) if not i or k != kinds[i - 1]] + [len(kinds)]
+    samples = {kinds[a]: matrix(some.column("embedding").slice(a, b - a)) for a, b in zip(at, at[1:], strict=False) if a < b}
+    sound = {k: v[np.isfinite(v).all(axis=1) & v.any(axis=1)] for k, v in samples.items()}  # as floats
+    forest = Forest(trees, similarity, leaf_rows, seed).fit({k: v for k, v in sound.items() if len(v)}, share)
+    del some, samples, sound
     shared = spark.sparkContext.broadcast(forest)  # its size is bounded by the sample's
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +205,8 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.93, trees: int = 6, l
         counted[one] += links @ n[two]
         if not same:
             counted[two] += n[one] @ links
-        x, y = blocks.forest(links, one, two)
+        x, y = np.nonzero(links)
+        x, y = blocks.forest(one[x], two[y])
         some = np.flatnonzero(counted)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((node[some], node[x]))), pa.array(np.concatenate((np.full(len(some), -1), node[y]))), pa.array(np.concatenate((counted[some], np.zeros(len(x), np.int64))))], names=["a", "b", "n"])
 

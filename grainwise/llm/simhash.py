@@ -54,7 +54,6 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fp, the fingerprint of the whole text as a signed long; a row for each row of docs."""
-    common.bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,15 +84,22 @@ class Ring:
     def key_mask(self, i: int) -> int:
         return sum(self.masks[(i + k) % self.m] for k in range(self.equal))
 
-    def links(self, a: np.ndarray, b: np.ndarray, i: int) -> np.ndarray:
-        """Which of a (rows) and b (columns), equal in the key of chain i, are within the distance; the chain is followed first."""
-        mask, diff = self.key_mask(i), a[:, None] ^ b[None, :]
-        ok = np.ones(diff.shape, bool)
+    def links(self, a: np.ndarray, b: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Positions in a and b of the pairs within the distance, of pairs that are equal in the key of chain i, and how many pairs were left
+        after each step along the chain. A pair that exceeds a budget goes no further; the last step is the full distance."""
+        mask, x, y, diff, left = self.key_mask(i), None, None, a[:, None] ^ b[None, :], []
         for k in range(self.equal, self.m):
             mask |= self.masks[(i + k) % self.m]
-            if k == self.m - 1 or self.budget(k + 1) < self.budget(k + 2):  # of chains with one budget the longest is the strictest
-                ok &= np.bitwise_count(diff & np.uint64(mask)) <= self.budget(k + 1)
-        return ok
+            if k < self.m - 1 and self.budget(k + 1) == self.budget(k + 2):
+                continue  # of chains with one budget the longest is the strictest
+            ok = np.bitwise_count(diff & np.uint64(mask)) <= self.budget(k + 1)
+            if x is None:
+                x, y = np.nonzero(ok)
+            else:
+                x, y = x[ok], y[ok]
+            diff = diff[ok]
+            left.append(len(x))
+        return x, y, left
 
 
 def link(nodes: DataFrame, distance: int = 2, segments: int | None = None, block: int = 1024) -> DataFrame:
@@ -107,7 +113,8 @@ def link(nodes: DataFrame, distance: int = 2, segments: int | None = None, block
 
     def work(group: pa.Table, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
         fp = group.column("fp").to_numpy().view(np.uint64)
-        x, y = blocks.forest(ring.links(fp[one], fp[two], int(group.column("chain")[0].as_py())), one, two)
+        x, y, _ = ring.links(fp[one], fp[two], int(group.column("chain")[0].as_py()))
+        x, y = blocks.forest(one[x], two[y])
         yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)), pa.array(fp[y].view(np.int64))], names=["a", "b"])
 
     return blocks.compare(members, ["chain", "key"], F.xxhash64("fp"), block, work, "a long, b long").where("a <> b").distinct()
@@ -122,7 +129,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2, segments:
     Null texts count as empty; texts without words have fingerprint 0 and group like any other. Null doc_ids are never smallest; a group
     that has only such has component_id null. Rows that repeat a doc_id are rows like any other. No rows give no rows.
     """
-    prints = common.materialise(fingerprints(docs, size, seed), "fingerprints")
+    with common.bounded_batches(docs.sparkSession):
+        prints = common.materialise(fingerprints(docs, size, seed), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(link(nodes.select("fp"), distance, segments))
     group = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -137,10 +145,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, size=3, distance=2, segments=5).select("doc_id", "fingerprint", "component_id")
 
 
-# Documents of a Jaccard similarity, by long fingerprints: many bits differ there, so that pairs meet by shingles that they share.
+# Documents of a Jaccard similarity, by long fingerprints. So many bits differ there that no chain of equal segments is long enough for a key:
+# pairs meet by shingles that they share, and the ring prunes them.
 
 #: Bits of a long fingerprint, as 64-bit words.
 LONG_WORDS = 4
+#: Segments of a long fingerprint's ring, 32 bits each.
+LONG_SEGMENTS = 2 * LONG_WORDS
 
 
 def long_fingerprint(hashes: np.ndarray) -> list[int]:
@@ -219,104 +230,150 @@ def prefix(hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np
     return hashes[np.argsort(rank, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
+def along_the_ring(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Pairs of long fingerprints (rows of a and b, LONG_WORDS wide) that differ in at most so many bits: their positions, their distances, and how many
+    pairs were left after each step. Chains of one, two and more segments in a row are followed from each segment; a chain ends where
+    it exceeds its part of the budget, and a pair goes when it has no chain left. The last step is the full distance."""
+    at, most = np.arange(len(a)), most.astype(np.int32)
+    differ = np.bitwise_count((a ^ b).view(np.uint32)).astype(np.int32).reshape(-1, LONG_SEGMENTS)
+    total, alive, left = np.zeros_like(differ), np.ones(differ.shape, bool), []
+    for k in range(1, LONG_SEGMENTS + 1):
+        total += np.roll(differ, 1 - k, axis=1)
+        alive &= total <= (k * most // LONG_SEGMENTS)[:, None]
+        some = alive.any(axis=1)
+        at, most, differ, total, alive = at[some], most[some], differ[some], total[some], alive[some]
+        left.append(len(at))
+    return at, differ.sum(axis=1), left
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, block: int = 512, seed: int = 42) -> DataFrame:
     """Group documents whose shingle sets have at least this Jaccard similarity, directly or through others.
 
-    Candidates are pairs that share a shingle of their prefixes, which every such pair does, and whose 256-bit fingerprints differ in no more bits than
-    such sets' do, with six standard deviations to spare (for a pair at 0.8 a chance below 1 in 10 million to be missed); a pair counts once
-    its shingle sets, compared exactly, are similar enough. Only documents with equal sets (by a digest of 128 bits) are one from the
-    start, equal fingerprints are candidates like others.
+    Only documents with equal sets (by a digest of 128 bits) are one node from the start. Two nodes are candidates if they share a shingle of
+    their prefixes, which every pair so similar does, if their sizes and the shingle's places leave room for the overlap, and if their 256-bit
+    fingerprints differ in no more bits than such sets' do, with six standard deviations to spare (for a pair at 0.8 a chance below 1 in
+    10 million to be missed). A pair links once its two sets, compared exactly, are similar enough.
+
+    Links are sought in two rounds. The first takes from each block of a bucket as many candidates as span it, the nearest
+    first, and joins those that hold. The second takes every candidate between nodes that are still apart. So no link is lost,
+    and a large group of near copies costs about as many comparisons as it has members, not pairs.
 
     docs needs doc_id and text; other columns are ignored. Returns a row for each distinct (doc_id, text): doc, tie (see substring_dedup.keys),
     root_doc and root_tie (of the group's first document), kept (it is that one). Null texts count as empty; texts without words are
-    alike. Null doc_ids come first. No rows give no rows.
+    alike. Null doc_ids come first. Very long texts are read whole. No rows give no rows.
     """
     from .substring_dedup import keys
 
     spark = docs.sparkSession
-    common.bound_batches(spark)
     docs, repeats = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     names, digest = [f"f{k}" for k in range(LONG_WORDS)], ["s0", "s1"]
     rows = "doc long, tie long, " + ", ".join(f"{n} long" for n in [*names, *digest, "n"]) + ", prefix array<long>"
-    frequent = frequent_shingles(docs, size, seed)
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, first = [], []
-            for t in batch.column(2):
-                s = shingle_set(t.as_py(), size, seed)
-                found.append((*long_fingerprint(s), *set_digest(s), len(s)))
-                first.append(prefix(s, similarity, frequent).view(np.int64))
-            ends = np.cumsum([0, *map(len, first)])
-            first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
-            found = np.array(found, np.int64).reshape(-1, LONG_WORDS + 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in found.T), first], names=["doc", "tie", *names, *digest, "n", "prefix"])
-        common.release()
-
-    every = common.materialise(docs.select("doc", "tie", "text").mapInArrow(prints, rows), "long-fingerprints")
-    nodes = every.groupBy(*digest).agg(F.min(F.struct("doc", "tie")).alias("first"), *[F.first(n).alias(n) for n in [*names, "n", "prefix"]])
-    nodes = common.materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "first.doc", "first.tie", *names, *digest, "n", "prefix"), "set-nodes")
-    members = nodes.select("node", F.explode("prefix").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = members.join(shared.select("key"), "key").join(nodes.select("node", F.col("n").alias("size"), *names), "node")
-
-    def near(group: pa.Table, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = group.column("size").to_numpy()
-        a, b = n[one][:, None], n[two][None, :]
-        ok = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
-        differ = np.zeros(ok.shape, np.int32)
-        for w in (group.column(c).to_numpy().view(np.uint64) for c in names):
-            differ += np.bitwise_count(w[one][:, None] ^ w[two][None, :])
-        most = most_bits(n, similarity)
-        ok &= differ <= np.maximum(most[one][:, None], most[two][None, :])
-        node = group.column("node").to_numpy()
-        x, y = blocks.forest(ok, one, two)
-        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
-
-    candidates = blocks.compare(members, ["key"], F.xxhash64("node"), block, near, "a long, b long").where("a <> b").distinct()
-    clusters = common.materialise(components(candidates), "candidate-clusters")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t.as_py(), size, seed).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["root", "node", "set"])
-
-    wanted = clusters.join(nodes.select("node", "doc", "tie"), "node")
-    texts = docs.dropDuplicates(["doc", "tie"]) if repeats else docs
-    texts = texts.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).select("root", "node", "text")
-
-    def alike(group: pa.Table, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
-        node = group.column("node").to_numpy()
-        x, y = blocks.forest(jaccard(group.column("set").to_pylist(), one, two) >= similarity - 1e-12, one, two)
-        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
-
-    linked = blocks.compare(common.materialise(texts.mapInArrow(sets, "root long, node long, set binary"), "shingle-sets"), ["root"], F.xxhash64("node"), block, alike, "a long, b long")
-    roots = components(linked)
-    group = common.materialise(nodes.join(roots, "node", "left").select(*digest, "doc", "tie", F.coalesce("root", "node").alias("root")), "document-groups")
+    with common.bounded_batches(spark):
+        frequent = frequent_shingles(docs, size, seed)
+
+        def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found, first = [], []
+                for t in batch.column(2):
+                    s = shingle_set(t.as_py(), size, seed)
+                    found.append((*long_fingerprint(s), *set_digest(s), len(s)))
+                    first.append(prefix(s, similarity, frequent).view(np.int64))
+                ends = np.cumsum([0, *map(len, first)])
+                first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
+                found = np.array(found, np.int64).reshape(-1, LONG_WORDS + 3)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in found.T), first], names=["doc", "tie", *names, *digest, "n", "prefix"])
+            common.release()
+
+        every = common.materialise(docs.select("doc", "tie", "text").mapInArrow(prints, rows), "long-fingerprints")
+        nodes = every.groupBy(*digest).agg(F.min(F.struct("doc", "tie")).alias("first"), *[F.first(n).alias(n) for n in [*names, "n", "prefix"]])
+        nodes = common.materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "first.doc", "first.tie", *names, *digest, "n", "prefix"), "set-nodes")
+        members = nodes.select("node", F.posexplode("prefix").alias("place", "key"))
+        shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        members = members.join(shared, "key").join(nodes.select("node", F.col("n").alias("size"), *names), "node")
+        members = common.materialise(members, "shared-shingles")
+
+        def candidates(group: pa.Table, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Positions and distances of a block's candidates."""
+            n, rest = group.column("size").to_numpy(), group.column("size").to_numpy() - group.column("place").to_numpy()
+            overlap = np.ceil(similarity / (1 + similarity) * (n[one][:, None] + n[two][None, :]) - 1e-9)
+            room = np.minimum(np.minimum(rest[one][:, None], rest[two][None, :]), np.minimum(n[one][:, None], n[two][None, :])) >= overlap
+            x, y = np.nonzero(room)
+            x, y = one[x], two[y]
+            apart = x < y if one is two else x != y
+            x, y = x[apart], y[apart]
+            prints = np.stack([group.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+            most = most_bits(n, similarity)
+            at, differ, _ = along_the_ring(prints[x], prints[y], np.maximum(most[x], most[y]))
+            return x[at], y[at], differ
+
+        def nearest(group: pa.Table, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x, y, differ = candidates(group, one, two)
+            some = blocks.spanning(x, y, differ)
+            yield pair_batch(group, x[some], y[some])
+
+        def between(group: pa.Table, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x, y, _ = candidates(group, one, two)
+            root = group.column("root").to_numpy()
+            apart = root[x] != root[y]
+            yield pair_batch(group, x[apart], y[apart])
+
+        first = common.materialise(blocks.compare(members, ["key"], F.xxhash64("node"), block, nearest, "a long, b long").distinct(), "near-candidates")
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [shingle_set(t.as_py(), size, seed).tobytes() for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "set"])
+            common.release()
+
+        wanted = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc", "tie"), "node")
+        texts = docs.dropDuplicates(["doc", "tie"]) if repeats else docs
+        texts = texts.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).select("node", "text")
+        sets_of = common.materialise(texts.mapInArrow(sets, "node long, set binary"), "shingle-sets")
+        roots = common.materialise(components(similar_pairs(first, sets_of, similarity)), "near-roots")
+        labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "n")
+        second = common.materialise(blocks.compare(labelled, ["key"], F.xxhash64("node"), block, between, "a long, b long", apart).distinct(), "far-candidates")
+        common.discard(members)
+        linked = similar_pairs(second, sets_of, similarity)
+        for end in ("a", "b"):
+            linked = linked.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+        joined = components(linked.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+        roots = nodes.select("node", *digest, "doc", "tie").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        group = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select(*digest, "doc", "tie", F.coalesce("last", "root").alias("root"))
+        group = common.materialise(group, "document-groups")
+    common.discard(sets_of, first, second, nodes)
     first = group.groupBy("root").agg(F.min(F.struct("doc", "tie")).alias("first"))
     of = group.select(*digest, "root").join(first, "root").select(*digest, F.col("first.doc").alias("root_doc"), F.col("first.tie").alias("root_tie"))
     whole = every.select("doc", "tie", *digest).distinct() if repeats else every.select("doc", "tie", *digest)
     return whole.join(of, digest).select("doc", "tie", "root_doc", "root_tie", ((F.col("doc") == F.col("root_doc")) & (F.col("tie") == F.col("root_tie"))).alias("kept"))
 
 
-def jaccard(sets: list[bytes], one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Exact Jaccard similarity of sets of 64-bit hashes, rows one against columns two; two empty sets are alike."""
-    values = [np.frombuffer(s, np.uint64) for s in sets]
-    sizes = np.array(list(map(len, values)))
-    row = np.repeat(np.arange(len(values)), sizes)
-    _, col, count = np.unique(np.concatenate(values) if len(row) else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
-    keep = count[col] > 1  # what a single set holds is in no intersection
-    row, col = row[keep], np.unique(col[keep], return_inverse=True)[1]
-    both = np.zeros((len(one), len(two)), np.float32)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for at in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
-        a, b = np.searchsorted(col, (at, at + 4096))
-        has = np.zeros((len(values), 4096), np.float32)
-        has[row[a:b], col[a:b] - at] = 1
-        both += has[one] @ has[two].T
-    union = sizes[one][:, None] + sizes[two][None, :] - both
-    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+def pair_batch(group: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Pairs of positions as pairs of nodes, the smaller first."""
+    node = group.column("node").to_numpy()
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (node, set: sorted 64-bit hashes), compared exactly, are similar enough. A task holds one batch of pairs."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity - 1e-12 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"{end}_set")), end)
+    return pairs.select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Exact similarity of two sets, each sorted and without repeats; two empty sets are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[at] == b).sum())
+    return both / (len(a) + len(b) - both)
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
