@@ -6,15 +6,16 @@ Suffixes are dealt into shards by content. A string of `length` bytes holds an a
 (the leftmost of such); equal strings have equal anchors at equal places. Neighbouring strings of one anchor place form a
 window, and windows of equal anchors hold all strings that can be equal. So:
 
-1. Windows are written down as numbers: hash of the anchor, fingerprint of the content, document and place. Equal windows meet
-   first: the earliest stays, all strings of the others also start earlier there. (Within a batch they meet before the shuffle.)
-2. Anchors that still have two windows or more, which then differ, need the bytes: these windows are cut from their documents and brought together by
-   anchor. A shard is a run of whole anchors; its suffix array is built by induced sorting and its common prefixes in permuted order
+1. Windows are written down as numbers: hash of the anchor, hash of the content, document and place. Anchors that only one window has
+   are done with. Windows of a batch that are equal, byte by byte, meet before the shuffle: the earliest goes on, and all strings of the others
+   also start earlier there. Windows that repeat within a batch are remembered for the task's next batches.
+2. The other windows are cut from their documents and brought together by anchor. Equal ones, again compared byte by byte, meet first. A shard is
+   a run of whole anchors; its suffix array is built by induced sorting and its common prefixes in permuted order
    (suffix_array.py). Runs of suffixes with `length` bytes in common are equal strings, and all but the earliest are removed.
 3. The removed strings of each document are put together and cut out.
 
-An anchor with very many differing windows (a line that a large part of all documents share) would not fit a shard; its windows are
-dealt anew by where a string starts and by the string's hash, which sends each string of it to a place of its own.
+Nothing is removed for a hash's sake. An anchor with very many windows (a line that a large part of all documents share) would not fit a shard; its windows are
+dealt anew as single strings, each to the shard of its hash, and go through the same suffix arrays.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from .suffix_array import common_prefixes, suffix_array
 
 #: Bytes whose anchors are sought at once, bytes of windows that are looked through at once, and bytes of windows in a shard, about.
 PIECE, PART, SHARD = 1 << 18, 1 << 20, 1 << 21
-#: Differing windows of an anchor from which it is dealt anew.
+#: Windows of an anchor from which it is dealt anew.
 HOT_WINDOWS = 20_000
+#: Windows that a task remembers from batch to batch.
+REMEMBERED = 20_000
 
 _PLACE_BITS = 28
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
@@ -122,111 +125,187 @@ def batch_of(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, tie: np.n
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, content, doc, tie, place, taken)], names=[*NUMBERS, "taken"])
 
 
+class Remembered:
+    """Windows that repeated within a batch, for the batches after it; a bounded number, with their bytes."""
+
+    def __init__(self):
+        self.of: dict[tuple[int, int], tuple[tuple[int, int, int], bytes]] = {}
+        self.anchors = np.zeros(0, np.int64)
+
+    def add(self, more: dict[tuple[int, int], tuple[tuple[int, int, int], bytes]]) -> None:
+        if len(self.of) + len(more) > REMEMBERED:
+            self.of.clear()
+        self.of |= dict(list(more.items())[:REMEMBERED])
+        self.anchors = np.unique(np.array([a for a, _ in self.of], np.int64))
+
+
 def find_windows(length: int, gram: int):
+    """Windows as numbers. taken: a window with the same bytes stands at an earlier place, in the same batch or in one before it."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered()
         for batch in batches:
             doc, tie = common.column_values(batch, 0), common.column_values(batch, 1)
             texts = [(t.as_py() or "").encode() for t in batch.column(2)]
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for text, starts, number, at in pieces(texts, length):
                 anchor, content, first, off, k = windows(text, starts, length, gram)
                 part = np.searchsorted(starts, first, "right") - 1
                 n = number[part]
-                for column, x in zip(out, (anchor.view(np.int64), content.view(np.int64), doc[n], tie[n], ((at[part] + first - starts[part]) << 32) + (off << 16) + k), strict=True):
+                for column, x in zip(out, (anchor.view(np.int64), content.view(np.int64), n, ((at[part] + first - starts[part]) << 32) + (off << 16) + k), strict=True):
                     column.append(x)
             if not out[0]:
                 continue
-            anchor, content, d, t, place = map(np.concatenate, out)
-            order = np.lexsort((place, t, d, content, anchor))
-            anchor, content, d, t, place = (x[order] for x in (anchor, content, d, t, place))
-            again = np.zeros(len(anchor), bool)
-            again[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
-            # A row that repeats a document is no earlier place.
-            twin = np.zeros(len(anchor), bool)
-            twin[1:] = again[1:] & (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (place[1:] == place[:-1])
-            lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
-            same = (d == d[lead]) & (t == t[lead]) & (place == place[lead])
-            keep = ~(again & same) & ~twin
+            anchor, content, n, place = map(np.concatenate, out)
+            order = np.lexsort((place, tie[n], doc[n], content, anchor))
+            anchor, content, n, place = (x[order] for x in (anchor, content, n, place))
+            d, t = doc[n], tie[n]
+
+            def cut(i: int, n=n, place=place, texts=texts) -> bytes:
+                at = int(place[i])
+                return texts[n[i]][at >> 32 : (at >> 32) + (at & 0xFFFF) + length - 1]
+
+            taken, keep = np.zeros(len(anchor), bool), np.ones(len(anchor), bool)
+            again = np.flatnonzero((anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])) + 1
+            lead, more = -1, {}
+            for i in again.tolist():
+                if lead < 0 or anchor[i] != anchor[lead] or content[i] != content[lead]:
+                    lead = i - 1
+                    more[int(anchor[lead]), int(content[lead])] = (int(d[lead]), int(t[lead]), int(place[lead])), cut(lead)
+                if d[i] == d[lead] and t[i] == t[lead] and place[i] == place[lead]:
+                    keep[i] = False  # a row that repeats a document is no earlier place
+                else:
+                    taken[i] = cut(i) == more[int(anchor[lead]), int(content[lead])][1]
+            for i in np.flatnonzero(np.isin(anchor, known.anchors) & ~taken & keep).tolist():
+                key, own = (int(anchor[i]), int(content[i])), (int(d[i]), int(t[i]), int(place[i]))
+                if key in known.of and own >= known.of[key][0] and cut(i) == known.of[key][1]:
+                    taken[i], keep[i] = own > known.of[key][0], own > known.of[key][0]
+                    more.pop(key, None)
+            known.add(more)
             # What is taken already goes anywhere: by document.
-            anchor = np.where(again, mix(d.view(np.uint64) ^ place.view(np.uint64)).view(np.int64), anchor)
-            yield batch_of(*(x[keep] for x in (anchor, content, d, t, place, again)))
+            anchor = np.where(taken, mix(d.view(np.uint64) ^ place.view(np.uint64)).view(np.int64), anchor)
+            yield batch_of(*(x[keep] for x in (anchor, content, d, t, place, taken)))
 
     return work
 
 
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From windows sorted by their numbers: those that are taken, and the differing ones of anchors that have several."""
-    last = None  # the numbers of the row before
-    waiting = None  # an anchor's only window so far
-    several = False  # whether the last anchor has several
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [common.column_values(batch, i) for i in range(5)]
-        before = batch.column(5).to_numpy(zero_copy_only=False)
-        if before.any():
-            yield batch_of(*(c[before] for c in cols), before[before])
-        cols = [c[~before] for c in cols]
-        n = len(cols[0])
-        if not n:
-            continue
-        joined = [np.concatenate(([x], c)) for x, c in zip(last or [0] * 5, cols, strict=True)]
-        differ = [c[1:] != c[:-1] for c in joined]
-        if last is None:
-            differ[0][0] = True
-        new = differ[0] | differ[1]
-        twin = ~new & ~(differ[2] | differ[3] | differ[4])
-        taken = ~new & ~twin
-        if taken.any():
-            yield batch_of(*(c[taken] for c in cols), taken[taken])
-        firsts = [c[new] for c in cols]
-        fresh_anchor = differ[0][new]
-        last = [int(c[-1]) for c in cols]
-        if not len(fresh_anchor):
-            continue
-        if waiting is not None:
-            firsts = [np.concatenate(([x], c)) for x, c in zip(waiting, firsts, strict=True)]
-            fresh_anchor = np.concatenate(([True], fresh_anchor))
-        group = np.cumsum(fresh_anchor)
-        sizes = np.bincount(group)
-        many = sizes[group] > 1
-        if several:
-            many |= group == 0
-        else:
-            assert fresh_anchor[0]
-        open_group = group[-1]
-        several = bool(sizes[open_group] > 1 or (open_group == 0 and several))
-        waiting = None if several else [int(c[-1]) for c in firsts]
-        if many.any():
-            yield batch_of(*(c[many] for c in firsts), np.zeros(int(many.sum()), bool))
+def meet(trust: bool):
+    """From windows sorted by their numbers: those that are taken, and those of anchors that have several. trust: windows with one anchor and
+    content are equal, and all but the first are taken here."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the numbers of the row before
+        waiting = None  # an anchor's only window so far
+        several = False  # whether the last anchor has several
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [common.column_values(batch, i) for i in range(5)]
+            before = batch.column(5).to_numpy(zero_copy_only=False)
+            if before.any():
+                yield batch_of(*(c[before] for c in cols), before[before])
+            cols = [c[~before] for c in cols]
+            if not len(cols[0]):
+                continue
+            joined = [np.concatenate(([x], c)) for x, c in zip(last or [0] * 5, cols, strict=True)]
+            differ = [c[1:] != c[:-1] for c in joined]
+            if last is None:
+                differ[0][0] = True
+            new = differ[0] | differ[1]
+            twin = ~new & ~(differ[2] | differ[3] | differ[4])
+            if trust:
+                taken = ~new & ~twin
+                if taken.any():
+                    yield batch_of(*(c[taken] for c in cols), taken[taken])
+            else:
+                new = ~twin
+            firsts = [c[new] for c in cols]
+            fresh_anchor = differ[0][new]
+            last = [int(c[-1]) for c in cols]
+            if not len(fresh_anchor):
+                continue
+            if waiting is not None:
+                firsts = [np.concatenate(([x], c)) for x, c in zip(waiting, firsts, strict=True)]
+                fresh_anchor = np.concatenate(([True], fresh_anchor))
+            group = np.cumsum(fresh_anchor)
+            sizes = np.bincount(group)
+            many = sizes[group] > 1
+            if several:
+                many |= group == 0
+            else:
+                assert fresh_anchor[0]
+            open_group = group[-1]
+            several = bool(sizes[open_group] > 1 or (open_group == 0 and several))
+            waiting = None if several else [int(c[-1]) for c in firsts]
+            if many.any():
+                yield batch_of(*(c[many] for c in firsts), np.zeros(int(many.sum()), bool))
+
+    return work
+
+
+CUT = "anchor long, content long, doc long, tie long, place long, bytes binary"
 
 
 def cut_windows(length: int):
-    """The bytes of a document's windows."""
+    """The bytes of a document's windows; of hot anchors the single strings, each by its own hash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cold, hot = Rows(CUT), Rows(CUT)
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
             for doc, tie, text, found in zip(*(batch.column(i) for i in range(4)), strict=True):
                 data, doc, tie = (text.as_py() or "").encode(), doc.as_py(), tie.as_py()
                 for w in found.as_py():
                     start, k = w["place"] >> 32, w["place"] & 0xFFFF
-                    for column, x in zip(rows, (w["anchor"], doc, tie, w["place"], data[start : start + k + length - 1]), strict=True):
-                        column.append(x)
-                    if len(rows[0]) >= 8192:
-                        yield cut_batch(rows)
-                        rows = [[], [], [], [], []]
-            if rows[0]:
-                yield cut_batch(rows)
+                    (hot if w["hot"] else cold).add(w["anchor"], w["content"], doc, tie, w["place"], data[start : start + k + length - 1])
+                    if len(cold) >= 8192:
+                        yield cold.take()
+                    if len(hot) >= 256:
+                        yield strings_of(hot.take(), length)
+        if len(cold):
+            yield cold.take()
+        if len(hot):
+            yield strings_of(hot.take(), length)
 
     return work
 
 
-CUT = "anchor long, doc long, tie long, place long, bytes binary"
+class Rows:
+    """Rows that wait to become a batch. schema: of long and binary columns."""
+
+    def __init__(self, schema: str):
+        self.fields = [x.split() for x in schema.split(", ")]
+        self.columns: list[list] = [[] for _ in self.fields]
 
+    def __len__(self) -> int:
+        return len(self.columns[0])
 
-def cut_batch(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["anchor", "doc", "tie", "place", "bytes"])
+    def add(self, *row) -> None:
+        for column, x in zip(self.columns, row, strict=True):
+            column.append(x)
+
+    def take(self) -> pa.RecordBatch:
+        kinds = {"long": pa.int64(), "binary": pa.binary()}
+        out = pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(self.columns, self.fields, strict=True)], names=[n for n, _ in self.fields])
+        self.columns = [[] for _ in self.fields]
+        return out
+
+
+def strings_of(windows_: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """The strings of windows as windows of one string; two hashes of a string stand for its anchor and content."""
+    doc, tie, place = (common.column_values(windows_, i) for i in (2, 3, 4))
+    data = windows_.column(5).to_pylist()
+    line = b"".join(data)
+    text = np.frombuffer(line, np.uint8)
+    sizes = np.array(list(map(len, data)))
+    k = sizes - length + 1
+    own = np.repeat(np.arange(len(data)), k)
+    step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    at = (np.cumsum(sizes) - sizes)[own] + step
+    anchor = gram_hashes(text, length)[at].view(np.int64)
+    content = mix(gram_hashes(text[::-1].copy(), length)[len(text) - length - at]).view(np.int64)
+    strings = [line[i : i + length] for i in at.tolist()]
+    start = (place[own] >> 32) + step
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (anchor, content, doc[own], tie[own], (start << 32) + 1)), pa.array(strings, pa.binary())], names=[x.split()[0] for x in CUT.split(", ")])
 
 
 #: Strings first to last (places in the document) that also start earlier.
@@ -290,72 +369,66 @@ def promising(anchor: np.ndarray, off: np.ndarray, data: list[bytes], length: in
 
 
 def search_shards(length: int, gram: int):
-    """From windows with their bytes, sorted by anchor: the runs of strings that also start earlier."""
+    """From windows with their bytes, sorted by their numbers: the runs of strings that also start earlier."""
 
     def search(parts: list[tuple]) -> pa.RecordBatch:
         doc, tie, start = (np.concatenate([p[i] for p in parts]) for i in range(3))
         data = [d for p in parts for d in p[3]]
         return runs(doc, tie, start, *later_strings(doc, tie, start, data, length))
 
-    def chosen(batches: list[pa.RecordBatch]) -> tuple | None:
-        t = pa.Table.from_batches(batches)
-        anchor, doc, tie, place = (t.column(c).to_numpy() for c in ("anchor", "doc", "tie", "place"))
-        data = t.column("bytes").to_pylist()
+    def chosen(part: list[tuple]) -> tuple | None:
+        anchor, doc, tie, place = (np.concatenate([p[i] for p in part]) for i in range(4))
+        data = [d for p in part for d in p[4]]
         rows = np.flatnonzero(promising(anchor, place >> 16 & 0xFFFF, data, length, gram))
         return (doc[rows], tie[rows], place[rows] >> 32, [data[i] for i in rows.tolist()]) if len(rows) else None
 
-    def whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-        part, held, last = [], 0, None
+    def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, tuple]]:
+        """For each batch the windows that equal the first of their numbers, byte by byte, as runs; and the others."""
+        head = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor = batch.column(0).to_numpy()
-            if held >= PART and (other := np.flatnonzero(anchor != last)).size:  # enough: it ends with its last anchor
-                cut = int(other[0])
-                yield [*part, batch.slice(0, cut)]
-                part, held, batch = [], 0, batch.slice(cut)
-            part.append(batch)
-            held += batch.nbytes
-            last = anchor[-1]
-        if part:
-            yield part
+            anchor, content, doc, tie, place = (common.column_values(batch, i) for i in range(5))
+            data, taken = batch.column(5).to_pylist(), np.zeros(len(anchor), bool)
+            for i, (a, c, x) in enumerate(zip(anchor.tolist(), content.tolist(), data, strict=True)):
+                if head is None or a != head[0] or c != head[1]:
+                    head = a, c, x
+                elif x == head[2]:
+                    taken[i] = True
+            left = np.flatnonzero(~taken)
+            lost = None
+            if len(left) < len(data):
+                start = place[taken] >> 32
+                lost = pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[taken], tie[taken], start, start + (place[taken] & 0xFFFF) - 1)], names=["doc", "tie", "first", "last"])
+            yield lost, (anchor[left], doc[left], tie[left], place[left], [data[i] for i in left.tolist()])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = [], 0
-        for part in whole_anchors(batches):
-            if (found := chosen(part)) is None:
+        shard, size = [], 0  # what goes through a suffix array together
+        part, held, last = [], 0, None  # whole anchors
+        for lost, rows in differing(batches):
+            if lost is not None:
+                yield lost
+            if not len(rows[0]):
                 continue
-            shard.append(found)
-            held += sum(map(len, found[3]))
-            if held >= SHARD:
+            if held >= PART and (other := np.flatnonzero(rows[0] != last)).size:  # enough: it ends with its last anchor
+                cut = int(other[0])
+                part.append(tuple(c[:cut] for c in rows))
+                if (found := chosen(part)) is not None:
+                    shard.append(found)
+                    size += sum(map(len, found[3]))
+                part, held, rows = [], 0, tuple(c[cut:] for c in rows)
+            part.append(rows)
+            held += sum(map(len, rows[4]))
+            last = rows[0][-1]
+            if size >= SHARD:
                 yield search(shard)
-                shard, held = [], 0
+                shard, size = [], 0
+        if part and (found := chosen(part)) is not None:
+            shard.append(found)
         if shard:
             yield search(shard)
 
     return work
 
 
-def single_strings(length: int):
-    """The strings of windows, each with its hash."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, tie, place = (common.column_values(batch, i) for i in (1, 2, 3))
-            for i in range(0, len(doc), 1024):
-                data = batch.column(4).slice(i, 1024).to_pylist()
-                text = np.frombuffer(b"".join(data), np.uint8)
-                sizes = np.array(list(map(len, data)))
-                k = sizes - length + 1
-                at = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(k) + k, k) + np.arange(k.sum())
-                h = [gram_hashes(text, length)[at].view(np.int64), mix(gram_hashes(text[::-1].copy(), length)[len(text) - length - at]).view(np.int64)]
-                own = np.repeat(np.arange(i, i + len(data)), k)
-                start = (place[own] >> 32) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*h, doc[own], tie[own], start)], names=["h1", "h2", "doc", "tie", "first"])
-
-    return work
-
-
 def removal(length: int):
     """What is left of a document: its numbers and its spans."""
 
@@ -407,7 +480,7 @@ def removed_spans(docs: DataFrame, length: int = 100, gram: int = 28, hot_window
     (the spans: start, end).
 
     Null and short texts lose nothing. Null doc_ids come first; rows of one doc_id come in the order of their texts' hashes; rows that
-    repeat a doc_id and its text are one document, and each gets its result. No rows give no rows.
+    repeat a doc_id and its text are one document, and each gets its result. Very long texts are read in overlapping pieces. No rows give no rows.
     """
     if not 8 <= gram <= length < 1 << 15:
         raise ValueError("gram is from 8 to length")
@@ -415,21 +488,17 @@ def removed_spans(docs: DataFrame, length: int = 100, gram: int = 28, hot_window
     common.bound_batches(spark, megabytes=4)
     docs, repeats = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = docs.select("doc", "tie", "text").mapInArrow(find_windows(length, gram), WINDOW)
-    met = found.repartition("anchor").sortWithinPartitions(*NUMBERS).mapInArrow(meet, WINDOW)
-    met = common.materialise(met.select("anchor", "doc", "tie", "place", "taken"), "windows")
-    wanted = met.where("not taken").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "place")).alias("found"))
+    met = found.repartition("anchor").sortWithinPartitions(*NUMBERS).mapInArrow(meet(trust=False), WINDOW)
+    met = common.materialise(met, "windows")
+    open_ = met.where("not taken").drop("taken")
+    hot = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_windows).select("anchor", F.lit(True).alias("hot"))
+    wanted = open_.join(hot, "anchor", "left").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "content", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
     cut = docs.dropDuplicates(["doc", "tie"]) if repeats else docs
     cut = cut.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).mapInArrow(cut_windows(length), CUT)
-    cut = common.materialise(cut, "window-bytes")
-    hot = cut.groupBy("anchor").count().where(F.col("count") > hot_windows).select("anchor")
-    cold = cut.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    strings = cut.join(hot, "anchor", "left_semi").mapInArrow(single_strings(length), "h1 long, h2 long, doc long, tie long, first long")
-    earliest = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tie", "first")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = strings.join(earliest, ["h1", "h2"]).where(F.struct("doc", "tie", "first") != F.col("e")).select("doc", "tie", "first", F.col("first").alias("last"))
+    searched = cut.repartition("anchor").sortWithinPartitions(*NUMBERS).mapInArrow(search_shards(length, gram), RUN)
     start = F.shiftright("place", 32)
     whole = met.where("taken").select("doc", "tie", start.alias("first"), (start + F.col("place").bitwiseAND(0xFFFF) - 1).alias("last"))
-    lost = whole.union(cold.mapInArrow(search_shards(length, gram), RUN)).union(again)
-    lost = lost.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    lost = whole.union(searched).groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>"
     return docs.join(lost, ["doc", "tie"], "left").select("doc_id", "text", "found").mapInArrow(removal(length), schema)
 
