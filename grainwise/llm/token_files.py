@@ -35,6 +35,8 @@ from .bpe import byte_alphabet, pieces
 MAGIC = b"GWTOKEN1"
 #: Pieces whose ids a worker keeps; when there are more it begins anew.
 KEPT_PIECES = 400_000
+#: Of a shard's documents the first and then each so many are also encoded by the library as whole texts and compared.
+COMPARED = 64
 
 
 class Pieces(dict):
@@ -71,10 +73,21 @@ class LibraryEncoder:
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.kept = Pieces(self.library.model) if plain and array("I").itemsize == 4 and sys.byteorder == "little" else None
 
+    def whole(self, text: str) -> bytes:
+        """Ids as the library gives them for the text as it is."""
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def compared(self, text: str) -> bytes:
+        """encode(), held against the library's call for the whole text: another version of the library that cuts texts otherwise stops the job."""
+        ids = self.encode(text)
+        if ids != self.whole(text):
+            raise RuntimeError("the tokenizers library cuts a text otherwise than this encoder does")
+        return ids
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if self.kept is None or any(s in text for s in self.added):
-            return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            return self.whole(text)
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
         return b"".join(map(self.kept.__getitem__, pieces(text)))
@@ -207,7 +220,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
                 bpe, file = encoder(tokenizer), store.open_output_stream(f"{root}/{name}")
                 out = ShardWriter(file, kind, block_ids, -1 if end_id is None else end_id)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out.add(doc_id, bpe.encode(text.as_py() or "") + end)
+                encode = bpe.encode if len(out.docs) % COMPARED else bpe.compared
+                out.add(doc_id, encode(text.as_py() or "") + end)
         if out is not None:
             out.close()
             file.close()

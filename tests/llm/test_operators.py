@@ -1,6 +1,7 @@
 """Each operator against a plain version, on small tables with nulls, empty and long texts, ties, repeats, no rows and clashing columns."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from grainwise.llm import bpe, common, embedding_dedup, exact_dedup, mixing, simhash, substring_dedup, token_counts, token_files, toxicity, unit_dedup
+from grainwise.llm import blocks, bpe, common, embedding_dedup, exact_dedup, mixing, simhash, substring_dedup, token_counts, token_files, toxicity, unit_dedup
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,6 +84,39 @@ def test_index_lives_on(spark, docs):
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_a_batch_that_comes_again(spark, docs, rows, monkeypatch):
+    path = common.scratch(spark, "index")
+    df = docs.select("doc_id", "text")
+    want = Counter(map(tuple, exact_dedup.classify(df, exact_dedup.DigestIndex(spark, common.scratch(spark, "index"), 4)).collect()))
+    add = exact_dedup.DigestIndex.add
+
+    def dies(self, digests, batch=None):  # after the append
+        add(self, digests, batch)
+        raise OSError("lost")
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", dies)
+    with pytest.raises(OSError):
+        exact_dedup.deduplicate(df, exact_dedup.DigestIndex(spark, path, 4))
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", add)
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    n = index.rows().count()
+    for again in (df, df.repartition(5)):
+        assert Counter(map(tuple, exact_dedup.classify(again, index).collect())) == want
+        assert exact_dedup.deduplicate(again, index).count() == len({r[1] or "" for r in rows})
+    assert index.rows().count() == n
+    # Under another name it is another delivery, of which nothing is new.
+    assert exact_dedup.deduplicate(df, index, batch="other").count() == 0
+    assert exact_dedup.deduplicate(df, index, batch="other").count() == 0
+
+
+def test_long_texts_by_digest(spark):
+    rng = random.Random(12)
+    long = words(rng, 300_000)
+    df = spark.createDataFrame([(1, long), (2, long + "x"), (3, long)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.classify(df, exact_dedup.DigestIndex(spark, common.scratch(spark, "index"), 2)).collect()}
+    assert got == {1: (3, False), 2: (2, True), 3: (3, True)}
+
+
 def test_deduplicate_keeps_columns(docs, none):
     out = exact_dedup.deduplicate(docs)
     assert out.columns == docs.columns and out.count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
@@ -156,6 +190,15 @@ def test_token_files(spark, docs, rows, none, library, kind):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_encoder_is_held_against_the_library(spark, tmp_path, monkeypatch):
+    """Another cut of texts than the library's stops the job."""
+    encoder = token_files.LibraryEncoder(BYTE_BPE)
+    assert encoder.compared("It's 12 o'clock") == encoder.whole("It's 12 o'clock")
+    monkeypatch.setattr(token_files, "pieces", lambda text: text.split())
+    with pytest.raises(RuntimeError):
+        token_files.LibraryEncoder(BYTE_BPE).compared("two words")
+
+
 def test_token_encoder_is_the_librarys(library):
     mine = token_files.encoder(BYTE_BPE)
     rng = random.Random(6)
@@ -224,7 +267,6 @@ def test_pigeonring_misses_nothing(spark, distance, segments):
     edges = simhash.link(nodes, distance, segments, block=7).collect()
     parent, at = list(range(len(fp))), {int(x): i for i, x in enumerate(fp.view(np.int64))}
     for e in edges:
-        assert int(fp[at[e.a]] ^ fp[at[e.b]]).bit_count() >= 0
         parent[find(parent, at[e.a])] = find(parent, at[e.b])
     other = list(range(len(fp)))
     for i in range(len(fp)):
@@ -232,6 +274,72 @@ def test_pigeonring_misses_nothing(spark, distance, segments):
             other[find(other, i)] = find(other, j)
     same = lambda p: {frozenset(k for k in range(len(fp)) if find(p, k) == r) for r in {find(p, k) for k in range(len(fp))}}
     assert same(parent) == same(other)
+    for e in edges:  # edges go between fingerprints that links join
+        assert find(other, at[e.a]) == find(other, at[e.b])
+
+
+@pytest.mark.parametrize(("distance", "segments"), [(2, 5), (3, 7), (6, 13), (4, 6)])
+def test_chains_prune(distance, segments):
+    """Pairs that are equal in a chain's key go along the chain, and only those within its budgets are left after each step."""
+    rng = np.random.default_rng(distance)
+    ring = simhash.Ring(distance, segments)
+    start = 1
+    key = ring.key_mask(start)
+    a, b = (rng.integers(0, 1 << 64, 200, dtype=np.uint64) & np.uint64(~key & ((1 << 64) - 1)) for _ in range(2))
+    for i in range(0, 200, 2):  # half of them near
+        b[i] = a[i] ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 2 * distance), replace=False)) & ~key)
+    x, y, left = ring.links(a, b, start)
+    alive, want = {(i, j) for i in range(200) for j in range(200)}, []
+    for k in range(ring.equal + 1, segments + 1):
+        mask = sum(ring.masks[(start + j) % segments] for j in range(k))
+        alive = {(i, j) for i, j in alive if (int(a[i] ^ b[j]) & mask).bit_count() <= k * distance // segments}
+        if k == segments or ring.budget(k) < ring.budget(k + 1):
+            want.append(len(alive))
+    assert left == want and set(zip(x.tolist(), y.tolist(), strict=True)) == alive
+    assert left[0] < 0.2 * 200 * 200 and 10 < left[-1] <= left[0]
+
+
+def test_long_prints_go_along_the_ring():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 64, (3000, simhash.LONG_WORDS), dtype=np.uint64)
+    b = a.copy()
+    for i in range(2000):
+        for k in rng.choice(256, rng.integers(0, 110), replace=False).tolist():
+            b[i, k // 64] ^= np.uint64(1 << k % 64)
+    b[2000:] = rng.integers(0, 1 << 64, (1000, simhash.LONG_WORDS), dtype=np.uint64)
+    most = rng.integers(40, 90, 3000)
+    at, differ, left = simhash.along_the_ring(a, b, most)
+    distance = np.bitwise_count(a ^ b).sum(1)
+    assert at.tolist() == np.flatnonzero(distance <= most).tolist() and differ.tolist() == distance[at].tolist()
+    assert left == sorted(left, reverse=True) and left[0] < 2600 and left[-1] == len(at)
+    none = simhash.along_the_ring(a[:0], b[:0], most[:0])
+    assert [len(x) for x in none[:2]] == [0, 0]
+
+
+def test_spanning_is_least():
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        n, m = int(rng.integers(1, 40)), int(rng.integers(0, 80))
+        x, y, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 10, m)
+        parent, total, count = list(range(n)), 0, 0
+        for i in np.argsort(w, kind="stable").tolist():
+            if find(parent, x[i]) != find(parent, y[i]):
+                parent[find(parent, x[i])] = find(parent, y[i])
+                total, count = total + w[i], count + 1
+        some = blocks.spanning(x, y, w)
+        assert (len(some), w[some].sum()) == (count, total)
+
+
+def test_a_chain_of_near_copies(spark):
+    """Texts that each resemble the next, in a chain whose ends differ, beside such that resemble all of them a little: only links count."""
+    rng = random.Random(13)
+    line = words(rng, 1000).split()
+    texts = [" ".join(line[40 * i : 40 * i + 600]) for i in range(10)]  # neighbours at 0.87, the next but one at 0.76
+    other = words(rng, 600).split()
+    texts += [" ".join(other[:300] + words(rng, 120 + 10 * i).split()) for i in range(12)]  # at most 0.6
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = simhash.similar_documents(df, block=4).collect()
+    assert {r.doc: r.root_doc for r in got} == {i: 0 if i < 10 else i for i in range(len(texts))}
 
 
 def test_similar_documents(spark, none):
@@ -290,7 +398,7 @@ def test_pairs_at_the_threshold(spark, monkeypatch):
     for i in range(150):
         n = rng.choice((8, 40, 120, 300, 800))
         a = words(rng, n) if i % 3 else common_part + " " + words(rng, n)
-        want = rng.choice((0.77, 0.81, 0.83))
+        want = rng.choice((0.77, 0.8, 0.82, 0.85, 0.9))
         b, k = a, 0
         while share(a, b) > want + 0.02:
             k += max(1, n // 100)
@@ -321,11 +429,10 @@ def test_prefixes_meet():
 def test_exact_jaccard():
     rng = np.random.default_rng(0)
     sets = [set(rng.integers(0, 40, rng.integers(0, 60)).tolist()) for _ in range(12)] + [set(), set()]
-    raw = [np.array(sorted(s), np.uint64).tobytes() for s in sets]
-    got = simhash.jaccard(raw, np.arange(7), np.arange(5, 14))
-    for a in range(7):
-        for j, b in enumerate(range(5, 14)):
-            assert got[a, j] == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1)
+    for a in sets:
+        for b in sets:
+            got = simhash.jaccard(*(np.array(sorted(s), np.uint64) for s in (a, b)))
+            assert got == pytest.approx(len(a & b) / len(a | b) if a | b else 1)
 
 
 # Substrings
@@ -381,19 +488,26 @@ def test_units(spark, docs, rows, none):
     assert [text[a:b] for a, b in unit_dedup.spans(text, ("paragraph",))] == ["One two.  Three four five! Six\nSeven eight", "Nine.\tTen"]
     with pytest.raises(ValueError):
         unit_dedup.remove_repeats(docs, ("page",))
-    for units, least in ((unit_dedup.UNITS, 2), (("line",), 1), (("paragraph", "sentence"), 5)):
+    for units, least in ((unit_dedup.UNITS, 1), (("line",), 1), (("paragraph", "sentence"), 5), (unit_dedup.UNITS, 20)):
         got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_units_removed, r.n_spans, r.kept_text, r.kept_sha256) for r in unit_dedup.remove_repeats(docs, units, least).collect())
         tie = {t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0] for t in {r[1] for r in rows}}
         want, seen = {}, set()
         for doc, t in sorted({(r[0], r[1]) for r in rows}, key=lambda k: (k[0] is not None, k[0] or 0, tie[k[1]])):
-            x, gone, n = t or "", set(), 0
+            x, gone, n, later = t or "", set(), 0, []
             for a, b in unit_dedup.spans(x, units):
                 unit = tuple(x[a:b].lower().split())
-                if len(unit) >= least:
-                    if unit in seen:
-                        n += 1
-                        gone |= set(range(a, b))
-                    seen.add(unit)
+                if unit in seen:
+                    later.append((a, b))
+                seen.add(unit)
+            covered = {i for a, b in later for i in range(a, b)}
+            for a, b in later:
+                while a > 0 and (a - 1 in covered or not x[a - 1].strip()):
+                    a -= 1
+                while b < len(x) and (b in covered or not x[b].strip()):
+                    b += 1
+                if len(x[a:b].split()) >= least:
+                    n += 1
+                    gone |= {i for i in range(a, b) if i in covered}
             kept = "".join(c for i, c in enumerate(x) if i not in gone)
             size = len(x.encode())
             want[doc, t] = (size, size - len(kept.encode()), n, sum(i - 1 not in gone for i in gone), kept, hashlib.sha256(kept.encode()).hexdigest())
@@ -401,10 +515,37 @@ def test_units(spark, docs, rows, none):
     assert unit_dedup.remove_repeats(none).count() == 0
 
 
+def test_short_repeats_stay(spark):
+    """A run is as long as its units together; white space is no break, other text is. Letters of scripts without spaces count by two."""
+    run = "Alpha beta gamma. Delta epsilon zeta eta theta.\n\nIota kappa lambda mu nu xi omicron pi rho sigma tau upsilon."
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(44)) + "\u3002"
+    texts = [run, "New words here.\n" + run + "\nMore.", "Alpha beta gamma. Other. Delta epsilon zeta eta theta.", "one two. " * 2, han, "\u3042\n" + han, han[:20] + "\u3002" + han[:20] + "\u3002"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id: r.kept_text for r in unit_dedup.remove_repeats(df).collect()}
+    assert kept == {**dict(enumerate(texts)), 1: "New words here.\n\n\n\nMore.", 5: "\u3042\n"}
+    every = {r.doc_id: r.kept_text for r in unit_dedup.remove_repeats(df, min_words=1).collect()}
+    assert every[2] == " Other. " and every[3].strip() == "one two."
+
+
+def test_repeats_across_batches(spark):
+    """More rows than a batch holds, in one task, out of order."""
+    rng = random.Random(14)
+    line = words(rng, 25)
+    df = spark.createDataFrame([(i, line + "\n" + words(rng, 3)) for i in rng.sample(range(40), 40)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc_id: r.n_removed for r in unit_dedup.remove_repeats(df).collect()}
+        assert got == {i: len(line) if i else 0 for i in range(40)}
+        cut = [r.n_removed for r in substring_dedup.removed_spans(df).orderBy("doc_id").collect()]
+        assert cut == [x[1] for x in plain_removal([r.text for r in df.orderBy("doc_id").collect()], 100)] and min(cut[1:]) > len(line)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+
+
 def test_units_keep_offsets(spark):
     passage = "This passage has more than five words in it. And so does this one here."
     df = spark.createDataFrame([(2, f"Début. {passage} Fin"), (1, f"x y, {passage}"), (3, passage.upper())], "doc_id long, text string")
-    got = {r.doc_id: r for r in unit_dedup.remove_repeats(df).collect()}
+    got = {r.doc_id: r for r in unit_dedup.remove_repeats(df, min_words=5).collect()}
     assert got[1].n_units_removed == 0 and got[1].removed == []
     text = f"Début. {passage} Fin"
     assert [text[s.start : s.end] for s in got[2].removed] == ["And so does this one here."]
@@ -533,6 +674,19 @@ def test_forest_recall(spark):
     assert want > 2000 and 0.95 * want <= got <= want
 
 
+def test_sample_is_bounded_by_components(spark, monkeypatch):
+    """Vectors of many dimensions: the trees see a bounded number of components, every vector is indexed."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 1024)).astype(np.float32)
+    v = np.concatenate([base, base + rng.normal(0, 0.05, base.shape).astype(np.float32)])
+    df = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    seen, fit = [], embedding_dedup.Forest.fit
+    monkeypatch.setattr(embedding_dedup.Forest, "fit", lambda self, samples, share: seen.append(sum(x.size for x in samples.values())) or fit(self, samples, share))
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df, leaf_rows=64, sample_components=200 * 1024).collect()}
+    assert 100 * 1024 < seen[0] < 300 * 1024
+    assert sum(got[i + 400] == i for i in range(400)) >= 0.95 * 400 and len(got) == 800
+
+
 # Mixing
 
 
@@ -578,6 +732,68 @@ def test_mixing_comes_near_in_blocks(spark):
     assert sum(r.target for r in out[0]) == pytest.approx(df.select(F.sum(mixing.words(F.col("text")))).first()[0])
 
 
+def plain_mix(sizes, target, offset, most=3):
+    """Copies of documents, as sizes in the order of the sum; levels and rates as the operator states them."""
+    level = [-math.floor(math.log2(n + 1) * 32) for n in sizes]
+    total, left, rest, out = offset, target, sum(sizes), []
+    plain = target / rest if rest else 0.0
+    for lv in sorted(set(level)):
+        own = [n for n, x in zip(sizes, level, strict=True) if x == lv]
+        n, mean = len(own), sum(own) / len(own)
+        rest_after = rest - sum(own)
+        rate = min(most, max(0.0, left / rest if rest else plain))
+        expected = math.floor(rate * 2**24)
+        crossed = (total + expected * n >> 24) - (total >> 24)
+        if sum(own):
+            wanted = min(max(min(crossed, max(math.floor(left / mean), 0)), math.ceil((left - rest_after * most) / mean - 0.5)), n * most)
+            if wanted != crossed:
+                expected = min(math.ceil(wanted * 2**24 / n), most << 24)
+        for _ in own:
+            out.append((total + expected >> 24) - (total >> 24))
+            total += expected
+        left -= sum(c for c in out[-n:]) * mean
+        rest = rest_after
+    return out
+
+
+def test_mixing_is_the_plain_sample(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice((1, 2, 5, 30, 31, 400, 3000)), rng.choice(["a", "b", "c", None, "d"])) for i in range(160)] + [(999, 5000, "d"), (1000, 0, "d")]
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, n, s in rows], "doc_id long, text string, source string")
+    for block_rows in (3, 1000):
+        got = defaultdict(list)
+        parts = -(-max(Counter((s, math.floor(math.log2(n + 1) * 32)) for _, n, s in rows).values()) // block_rows)
+        mixed = mixing.mix(df, block_rows=block_rows).withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).withColumn("offset", mixing.offset_of("source", 42))
+        for r in mixed.collect():
+            got[r.source].append(r)
+        for own in got.values():
+            own.sort(key=lambda r: (-math.floor(math.log2(r["size"] + 1) * 32), r.part, -r["size"], r.doc_id))
+            assert [r.copies for r in own] == plain_mix([r["size"] for r in own], own[0].target, own[0].offset)
+
+
+def test_mixing_comes_near_with_long_documents(spark):
+    """Sources of few documents, of very different sizes; one is half a source. Off by half its smallest documents at most, or 2 %."""
+    rng = random.Random(7)
+    rows = []
+    for s in range(24):
+        sizes = [int(rng.paretovariate(0.9) * 20) for _ in range(rng.randint(20, 60))] + [3] * 6
+        rows += [(min(n, 20_000), f"s{s:02}") for n in [*sizes, *([sum(sizes)] if s % 5 == 0 else [])]]
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (n, s) in enumerate(rows)], "doc_id long, text string, source string")
+    for r in mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= max(4, 0.02 * r.target), r
+
+
+def test_running_sums_by_ranges(spark):
+    df = spark.range(0, 1000, 1, 7).select(F.when(F.col("id") % 100 != 0, F.col("id") * 7919 % 1000).alias("k"), (F.col("id") * 7919 % 13).cast("double").alias("v"), F.col("id").alias("i"))
+    got = mixing.along(df, [F.col("k").desc_nulls_last(), F.col("i")], {"s": "v"}, "test-along").collect()
+    want, total = {}, 0
+    for r in sorted(df.collect(), key=lambda r: (r.k is None, -(r.k or 0), r.i)):
+        total += r.v
+        want[r.i] = total
+    assert {r.i: r.s for r in got} == want
+    assert mixing.along(df.limit(0), [F.col("k")], {"s": "v"}, "test-along").count() == 0
+
+
 def test_targets_are_cut_and_shared_again(spark):
     for sizes in ({"a": 1, "b": 500, "c": 499}, {"a": 0, "b": 0}, {"a": 10}, {"a": 1, "b": 1, "c": 1000, None: 3}, {"a": 5, "b": 90, "c": 4, "d": 1}):
         df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
