@@ -1,18 +1,19 @@
-"""Results kept under the digest of what made them; history and saved requests."""
+"""Results kept under the digest of what made them; history and saved requests. All of it on any file system that Spark reaches."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import shutil
 import time
 import uuid
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-FORMAT, MOST_ENTRIES = 1, 200
+from .store import Document, Folder
+
+#: Results that are kept, and bytes of one at most.
+FORMAT, MOST_ENTRIES, MOST_BYTES = 1, 200, 8 << 20
 
 
 def key(payload: dict[str, Any], revision: str) -> str:
@@ -22,53 +23,61 @@ def key(payload: dict[str, Any], revision: str) -> str:
 
 
 class ResultCache:
-    """Parquet folders named by key; the ones used longest ago go first."""
+    """Parquet folders named by key; the ones used longest ago go first. A result of more than most_bytes isn't kept."""
+
+    def __init__(self, spark: SparkSession, path: str, most: int = MOST_ENTRIES, most_bytes: int = MOST_BYTES):
+        self.spark, self.most, self.most_bytes = spark, most, most_bytes
+        self.folder, self._used = Folder(spark, f"{path}/results"), Document(spark, f"{path}/used")
 
-    def __init__(self, spark: SparkSession, folder: str, most: int = MOST_ENTRIES):
-        self.spark, self.folder, self.most = spark, Path(folder), most
+    def _touch(self, name: str) -> None:
+        used = [n for n in self._used.read([]) if n != name] + [name]
+        for old in used[: max(0, len(used) - self.most)]:
+            self.folder.delete(old)
+        self._used.write(used[-self.most :])
 
     def get(self, payload: dict, revision: str) -> DataFrame | None:
-        path = self.folder / key(payload, revision)
-        if not (path / "_SUCCESS").exists():
+        name = key(payload, revision)
+        if name not in self._used.read([]) or not self.folder.exists(f"{name}/_SUCCESS"):
             return None
-        (path / "_SUCCESS").touch()
-        return self.spark.read.parquet(str(path))
+        self._touch(name)
+        return self.spark.read.parquet(f"{self.folder.path}/{name}")
 
     def put(self, payload: dict, revision: str, df: DataFrame) -> DataFrame:
-        path = self.folder / key(payload, revision)
-        df.write.mode("overwrite").parquet(str(path))
-        kept = sorted((p for p in self.folder.iterdir() if (p / "_SUCCESS").exists()), key=lambda p: (p / "_SUCCESS").stat().st_mtime_ns)
-        for old in kept[: max(0, len(kept) - self.most)]:
-            shutil.rmtree(old)
-        return self.spark.read.parquet(str(path))
+        """The result as it is kept, or df itself if it is too large."""
+        name = key(payload, revision)
+        df.write.mode("overwrite").parquet(f"{self.folder.path}/{name}")
+        if self.folder.size(name) > self.most_bytes:
+            self.folder.delete(name)
+            return df
+        self._touch(name)
+        return self.spark.read.parquet(f"{self.folder.path}/{name}")
 
 
 class RequestLog:
     """What was asked, newest first, and what was saved under a name."""
 
-    def __init__(self, path: str):
-        self.path = Path(path)
+    def __init__(self, spark: SparkSession, path: str):
+        self._doc = Document(spark, path)
 
     def _state(self) -> dict:
-        return json.loads(self.path.read_text()) if self.path.exists() else {"history": [], "saved": {}}
+        return self._doc.read({"history": [], "saved": {}})
 
-    def _put(self, state: dict) -> None:
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        self.path.write_text(json.dumps(state, ensure_ascii=False))
-
-    def record(self, payload: dict, row_count: int) -> str:
+    def record(self, payload: dict, row_count: int, revision: str | None = None) -> str:
         state, number = self._state(), uuid.uuid4().hex
-        state["history"].insert(0, {"id": number, "at": time.time(), "payload": payload, "row_count": row_count})
-        self._put(state)
+        state["history"].insert(0, {"id": number, "at": time.time(), "payload": payload, "row_count": row_count, "revision": revision})
+        self._doc.write(state)
         return number
 
     def history(self, limit: int = 50) -> list[dict]:
         return self._state()["history"][:limit]
 
+    def request(self, number: str) -> dict | None:
+        return next((h for h in self._state()["history"] if h["id"] == number), None)
+
     def save(self, name: str, payload: dict) -> None:
         state = self._state()
         state["saved"][name] = payload
-        self._put(state)
+        self._doc.write(state)
 
     def saved(self) -> dict[str, dict]:
         return self._state()["saved"]
@@ -76,5 +85,6 @@ class RequestLog:
     def delete(self, name: str) -> bool:
         state = self._state()
         found = state["saved"].pop(name, None) is not None
-        self._put(state)
+        if found:
+            self._doc.write(state)
         return found

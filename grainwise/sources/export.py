@@ -1,25 +1,43 @@
-"""Results out: Parquet, CSV, JSON, spreadsheet and HTML; larger ones than allowed are refused, never cut."""
+"""Results out: Parquet, CSV, JSON, spreadsheet and HTML; larger ones than allowed are refused, never cut.
+
+A Parquet export is written by all tasks. The others are single files for people, on the driver's disk, and bounded.
+"""
 
 from __future__ import annotations
 
 import html
 import json
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from ..grain import RequestError
 
 MOST_ROWS, REPORT_ROWS = 500_000, 80
 
 
-def _rows(df: DataFrame, most: int = MOST_ROWS) -> list[dict[str, Any]]:
-    n = df.limit(most + 1).count()
-    if n > most:
-        raise RequestError(f"an export has {most} rows at most")
-    return [r.asDict() for r in df.collect()]
+def _rows(df: DataFrame, most: int = MOST_ROWS) -> Iterator[Row]:
+    """The rows, a partition at a time, of a plan that runs once; one row too many is an error, however many follow."""
+    for n, row in enumerate(df.limit(most + 1).toLocalIterator(prefetchPartitions=True)):
+        if n == most:
+            raise RequestError(f"an export has {most} rows at most")
+        yield row
+
+
+@contextmanager
+def _whole(path: str, **how: Any) -> Iterator[Any]:
+    """A file that is there under its name once it is whole."""
+    part = Path(f"{path}.part")
+    try:
+        with part.open("w", encoding=how.pop("encoding", "utf-8"), **how) as f:
+            yield f
+        part.replace(path)
+    finally:
+        part.unlink(missing_ok=True)
 
 
 def parquet(df: DataFrame, path: str) -> None:
@@ -31,15 +49,20 @@ def csv(df: DataFrame, path: str) -> None:
     """One file with a byte-order mark, for spreadsheets."""
     import csv as lib
 
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
+    with _whole(path, encoding="utf-8-sig", newline="") as f:
         out = lib.writer(f)
         out.writerow(df.columns)
         for r in _rows(df):
-            out.writerow(["" if v is None else v for v in r.values()])
+            out.writerow(["" if v is None else v for v in r])
 
 
 def as_json(df: DataFrame, path: str, metadata: dict[str, Any] | None = None) -> None:
-    Path(path).write_text(json.dumps({"metadata": metadata or {}, "section": {"columns": df.columns, "rows": _rows(df)}}, default=str, ensure_ascii=False), encoding="utf-8")
+    text = lambda v: json.dumps(v, default=str, ensure_ascii=False)
+    with _whole(path) as f:
+        f.write(f'{{"metadata": {text(metadata or {})}, "section": {{"columns": {text(df.columns)}, "rows": [')
+        for n, r in enumerate(_rows(df)):
+            f.write(", " * (n > 0) + text(r.asDict(recursive=True)))
+        f.write("]}}")
 
 
 def _cell(v: Any) -> str:
@@ -65,7 +88,7 @@ def xlsx(df: DataFrame, path: str, metadata: dict[str, Any] | None = None) -> No
         "_rels/.rels": f'<Relationships xmlns="{ns}package/2006/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'<workbook xmlns="{ns}spreadsheetml/2006/main" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>",
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{ns}package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in (1, 2)) + "</Relationships>",
-        "xl/worksheets/sheet1.xml": _sheet([df.columns, *[list(r.values()) for r in _rows(df)]]),
+        "xl/worksheets/sheet1.xml": _sheet([df.columns, *map(list, _rows(df))]),
         "xl/worksheets/sheet2.xml": _sheet([[k, v if isinstance(v, (int, float)) else str(v)] for k, v in (metadata or {}).items()]),
     }
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
@@ -75,6 +98,7 @@ def xlsx(df: DataFrame, path: str, metadata: dict[str, Any] | None = None) -> No
 
 def report(df: DataFrame, path: str, title: str) -> None:
     """A page with the first 80 rows and the number of all."""
+    n = df.count()
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in df.limit(REPORT_ROWS).collect())
-    Path(path).write_text(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><p>{df.count()} rows</p><table><tr>{head}</tr>{body}</table>", encoding="utf-8")
+    Path(path).write_text(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><p>{n} rows</p><table><tr>{head}</tr>{body}</table>", encoding="utf-8")

@@ -98,7 +98,24 @@ def latest(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def verify(rows: DataFrame) -> DataFrame:
-    """Rows and repeated keys by data set."""
+def verify(rows: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+    """By data set: n_rows, n_entities, duplicate_keys and, with snapshots, raw_snapshots, missing_files, hash_mismatches and ok.
+
+    rows: dataset, entity, row_key. snapshots: dataset, missing, mismatched, a row for each, as Archive.verify() gives them.
+    """
     keys = rows.groupBy("dataset", "entity", "row_key").count()
-    return keys.groupBy("dataset").agg(F.sum("count").alias("n_rows"), F.count(F.when(F.col("count") > 1, 1)).alias("duplicate_keys"))
+    by_key = keys.groupBy("dataset", "row_key").agg(F.sum("count").alias("count"))
+    sound = by_key.groupBy("dataset").agg(F.sum("count").alias("n_rows"), F.count(F.when(F.col("count") > 1, 1)).alias("duplicate_keys"))
+    entities = keys.groupBy("dataset").agg(F.count_distinct("entity").alias("n_entities"))
+    out = sound.join(entities, "dataset").select("dataset", "n_rows", "n_entities", "duplicate_keys")
+    if snapshots is None:
+        return out
+    files = snapshots.groupBy("dataset").agg(F.count(F.lit(1)).alias("raw_snapshots"), F.count(F.when(F.col("missing"), 1)).alias("missing_files"), F.count(F.when(F.col("mismatched"), 1)).alias("hash_mismatches"))
+    out = out.join(files, "dataset", "full_outer").fillna(0)
+    return out.withColumn("ok", (F.col("duplicate_keys") == 0) & (F.col("missing_files") == 0) & (F.col("hash_mismatches") == 0))
+
+
+def summary(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """By data set: n_rows, n_entities and raw_snapshots. snapshots: dataset, a row for each."""
+    own = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("entity").alias("n_entities"))
+    return own.join(snapshots.groupBy("dataset").agg(F.count(F.lit(1)).alias("raw_snapshots")), "dataset", "full_outer").fillna(0)
