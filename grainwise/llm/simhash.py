@@ -254,9 +254,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, b
     fingerprints differ in no more bits than such sets' do, with six standard deviations to spare (for a pair at 0.8 a chance below 1 in
     10 million to be missed). A pair links once its two sets, compared exactly, are similar enough.
 
-    Links are sought in two rounds. The first takes from each block of a bucket as many candidates as span it, the nearest
-    first, and joins those that hold. The second takes every candidate between nodes that are still apart. So no link is lost,
-    and a large group of near copies costs about as many comparisons as it has members, not pairs.
+    Links are sought in three rounds, each among nodes that are still apart. The first looks at the two rarest shingles of each prefix and takes as many
+    candidates as span those that meet there, the nearest first; the second does so for all shingles; the third takes every candidate that is left.
+    So no link is lost, and a large group of near copies costs about as many exact comparisons as it has members, not pairs.
 
     docs needs doc_id and text; other columns are ignored. Returns a row for each distinct (doc_id, text): doc, tie (see substring_dedup.keys),
     root_doc and root_tie (of the group's first document), kept (it is that one). Null texts count as empty; texts without words are
@@ -291,57 +291,55 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, b
         shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
         members = members.join(shared, "key").join(nodes.select("node", F.col("n").alias("size"), *names), "node")
         members = common.materialise(members, "shared-shingles")
+        texts = docs.dropDuplicates(["doc", "tie"]) if repeats else docs
 
-        def candidates(group: pa.Table, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Positions and distances of a block's candidates."""
-            n, rest = group.column("size").to_numpy(), group.column("size").to_numpy() - group.column("place").to_numpy()
-            overlap = np.ceil(similarity / (1 + similarity) * (n[one][:, None] + n[two][None, :]) - 1e-9)
-            room = np.minimum(np.minimum(rest[one][:, None], rest[two][None, :]), np.minimum(n[one][:, None], n[two][None, :])) >= overlap
-            x, y = np.nonzero(room)
-            x, y = one[x], two[y]
-            apart = x < y if one is two else x != y
-            x, y = x[apart], y[apart]
-            prints = np.stack([group.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+        def candidates(rows: pa.Table, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Positions and distances of the candidates among pairs."""
+            n = rows.column("size").to_numpy()
+            rest = n - rows.column("place").to_numpy()  # what two sets share from their first common shingle on
+            room = np.minimum(rest[x], rest[y]) >= np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - 1e-9)
+            x, y = x[room], y[room]
+            prints = np.stack([rows.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
             most = most_bits(n, similarity)
             at, differ, _ = along_the_ring(prints[x], prints[y], np.maximum(most[x], most[y]))
             return x[at], y[at], differ
 
-        def nearest(group: pa.Table, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
-            x, y, differ = candidates(group, one, two)
-            some = blocks.spanning(x, y, differ)
-            yield pair_batch(group, x[some], y[some])
-
-        def between(group: pa.Table, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
-            x, y, _ = candidates(group, one, two)
-            root = group.column("root").to_numpy()
-            apart = root[x] != root[y]
-            yield pair_batch(group, x[apart], y[apart])
-
-        first = common.materialise(blocks.compare(members, ["key"], F.xxhash64("node"), block, nearest, "a long, b long").distinct(), "near-candidates")
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [shingle_set(t.as_py(), size, seed).tobytes() for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "set"])
-            common.release()
-
-        wanted = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc", "tie"), "node")
-        texts = docs.dropDuplicates(["doc", "tie"]) if repeats else docs
-        texts = texts.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).select("node", "text")
-        sets_of = common.materialise(texts.mapInArrow(sets, "node long, set binary"), "shingle-sets")
-        roots = common.materialise(components(similar_pairs(first, sets_of, similarity)), "near-roots")
-        labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "n")
-        second = common.materialise(blocks.compare(labelled, ["key"], F.xxhash64("node"), block, between, "a long, b long", apart).distinct(), "far-candidates")
-        common.discard(members)
-        linked = similar_pairs(second, sets_of, similarity)
-        for end in ("a", "b"):
-            linked = linked.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-        joined = components(linked.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-        roots = nodes.select("node", *digest, "doc", "tie").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        group = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select(*digest, "doc", "tie", F.coalesce("last", "root").alias("root"))
-        group = common.materialise(group, "document-groups")
-    common.discard(sets_of, first, second, nodes)
+        def nearest(rows: pa.Table, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x, y, differ = candidates(rows, x, y)
+            root = np.unique(rows.column("root").to_numpy(), return_inverse=True)[1]  # what is joined already counts as one
+            some = blocks.spanning(root[x], root[y], differ)
+            yield pair_batch(rows, x[some], y[some])
+
+        def every_one(rows: pa.Table, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x, y, _ = candidates(rows, x, y)
+            yield pair_batch(rows, x, y)
+
+        roots = None
+        for round_, (work, places) in enumerate(((nearest, "place < 2"), (nearest, "true"), (every_one, "true"))):
+            own = members.where(places)
+            if roots is None:
+                own = own.withColumn("root", F.col("node"))
+            else:
+                own = own.join(roots.withColumnRenamed("last", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            apart = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "n")
+            pairs = common.materialise(blocks.compare_pairs(own, ["key"], F.xxhash64("node"), block, work, "a long, b long", apart).distinct(), f"candidates-{round_}")
+            if pairs.isEmpty():
+                continue
+            linked = similar_pairs(pairs, texts, nodes, similarity, size, seed)
+            if roots is None:
+                roots = components(linked).withColumnRenamed("root", "last")
+            else:
+                for end in ("a", "b"):
+                    linked = linked.join(roots.select(F.col("node").alias(end), F.col("last").alias(f"{end}_root")), end, "left")
+                joined = components(linked.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
+                # Those that had a root, and those that have one only now.
+                both = roots.join(joined, roots["last"] == joined["was"], "full_outer")
+                roots = both.select(F.coalesce("node", "was").alias("node"), F.coalesce("now", "last").alias("last")).distinct()
+            roots = common.materialise(roots, f"roots-{round_}")
+        group = nodes.select("node", *digest, "doc", "tie")
+        group = group.join(roots, "node", "left").withColumn("root", F.coalesce("last", "node")) if roots is not None else group.withColumn("root", F.col("node"))
+        group = common.materialise(group.select(*digest, "doc", "tie", "root"), "document-groups")
+    common.discard(members, nodes)
     first = group.groupBy("root").agg(F.min(F.struct("doc", "tie")).alias("first"))
     of = group.select(*digest, "root").join(first, "root").select(*digest, F.col("first.doc").alias("root_doc"), F.col("first.tie").alias("root_tie"))
     whole = every.select("doc", "tie", *digest).distinct() if repeats else every.select("doc", "tie", *digest)
@@ -354,17 +352,29 @@ def pair_batch(group: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets (node, set: sorted 64-bit hashes), compared exactly, are similar enough. A task holds one batch of pairs."""
+def similar_pairs(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float, size: int, seed: int) -> DataFrame:
+    """Those of the pairs of nodes (a, b) whose shingle sets, compared exactly, are similar enough. texts: doc, tie, text; nodes: node, doc, tie. Sets are made of
+    the nodes that have a pair alone; a task holds one batch of pairs."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), size, seed).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "set"])
+        common.release()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity - 1e-12 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc", "tie"), "node")
+    made = texts.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).select("node", "text").mapInArrow(sets, "node long, set binary")
+    made = common.materialise(made, "shingle-sets")
     for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"{end}_set")), end)
-    return pairs.select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long")
+        pairs = pairs.join(made.select(F.col("node").alias(end), F.col("set").alias(f"{end}_set")), end)
+    out = common.materialise(pairs.select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long"), "similar-pairs")
+    common.discard(made)
+    return out
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
