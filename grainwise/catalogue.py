@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType
 
@@ -121,6 +121,37 @@ def semantic_filter(spark, sf):
     return R.project(R.where(pitches(spark, sf), known["engaged"] & known["fast"]), ["pitch_uid", "pitch_type"])
 
 
+#: Fixed text: pitch types, descriptions, zones and hands dealt out over lineitem, nulls among them, and what each built-in name says of them.
+_NAMED = (
+    "WITH dealt AS (SELECT l_orderkey, l_linenumber, ['FF', 'ST', 'CH', 'SL', 'CU', 'KC', 'SV', 'SI', 'FC', 'XX', NULL][1 + l_orderkey % 11] AS pitch_type, "
+    "CASE WHEN l_partkey % 15 = 0 THEN NULL ELSE l_partkey % 15 END AS zone, "
+    "['called_strike', 'swinging_strike', 'swinging_strike_blocked', 'missed_bunt', 'foul', 'foul_bunt', 'foul_tip', 'hit_into_play', 'ball', NULL][1 + l_suppkey % 10] AS description, "
+    "CASE l_linenumber % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'L' END AS p_throws, CASE l_linenumber % 2 WHEN 0 THEN 'R' ELSE 'L' END AS stand FROM lineitem) "
+    "SELECT count(CASE WHEN pitch_type = 'FF' THEN 1 END) AS four_seam_fastball, count(CASE WHEN pitch_type = 'ST' THEN 1 END) AS sweeper, count(CASE WHEN pitch_type = 'CH' THEN 1 END) AS changeup, "
+    "count(CASE WHEN pitch_type IN ('SL', 'ST', 'CU', 'KC', 'SV') THEN 1 END) AS breaking_ball, count(CASE WHEN pitch_type IN ('FF', 'SI', 'FC') THEN 1 END) AS fastball_family, "
+    "count(CASE WHEN zone BETWEEN 1 AND 9 THEN 1 END) AS in_strike_zone, count(CASE WHEN description = 'called_strike' THEN 1 END) AS called_strike, "
+    "count(CASE WHEN description IN ('swinging_strike', 'swinging_strike_blocked', 'missed_bunt') THEN 1 END) AS whiff, "
+    "count(CASE WHEN description IN ('swinging_strike', 'swinging_strike_blocked', 'missed_bunt', 'foul', 'foul_bunt', 'foul_tip', 'hit_into_play') THEN 1 END) AS swing, "
+    "count(CASE WHEN p_throws = 'R' AND stand = 'R' THEN 1 END) AS right_on_right, count(CASE WHEN NOT (pitch_type = 'FF') THEN 1 END) AS not_four_seam FROM dealt"
+)
+
+
+@query("semantic_names", _NAMED)
+def semantic_names(spark, sf):
+    from .presets import Registry
+
+    pick = lambda values, n: F.element_at(F.array(*map(L, values)), (n + 1).cast("int"))
+    r = lineitem(spark, sf)
+    dealt = r.df.select(
+        pick(["FF", "ST", "CH", "SL", "CU", "KC", "SV", "SI", "FC", "XX", None], C("l_orderkey") % 11).alias("pitch_type"), F.nullif(C("l_partkey") % 15, L(0)).alias("zone"),
+        pick(["called_strike", "swinging_strike", "swinging_strike_blocked", "missed_bunt", "foul", "foul_bunt", "foul_tip", "hit_into_play", "ball", None], C("l_suppkey") % 10).alias("description"),
+        F.when(C("l_linenumber") % 3 == 0, "R").when(C("l_linenumber") % 3 == 1, "L").alias("p_throws"), F.when(C("l_linenumber") % 2 == 0, "R").otherwise("L").alias("stand"),
+    )
+    known = Registry()
+    metrics = [R.Metric(n, "count", None, False, known[n]) for n in known.names()]
+    return R.aggregated(r.with_df(dealt, Grain(())), [], [*metrics, R.Metric("not_four_seam", "count", None, False, ~known["four_seam_fastball"])])
+
+
 simple(
     "circular_encode", "SELECT event_id, round(sin(radians(((value * 7 - 180) % 360 + 360) % 360)), 6) + 0.0 AS angle_sin, round(cos(radians(((value * 7 - 180) % 360 + 360) % 360)), 6) + 0.0 AS angle_cos FROM events",
     lambda r: R.project(r.with_df(r.df.withColumn("angle", C("value") * 7 - 180)), {"event_id": C("event_id"), **E.circular("angle")}),
@@ -407,9 +438,16 @@ def partition_complete_counts(spark, sf):
 
 @query("autok_bounds", "SELECT user_id, least(count(*), greatest(5, least(30, CAST(ceil(count(*) * 0.03) AS BIGINT)))) AS least_rows, greatest(1, least(8, count(*) // least(count(*), greatest(5, least(30, CAST(ceil(count(*) * 0.03) AS BIGINT)))))) AS most_k FROM events GROUP BY user_id")
 def autok_bounds(spark, sf):
+    from .operators.numeric import clustering
+
     counts = events(spark, sf).df.groupBy("user_id").count()
-    least = F.least(C("count"), F.greatest(L(5), F.least(L(30), F.ceil(C("count") * 0.03))))
-    return counts.select("user_id", least.alias("least_rows"), F.greatest(L(1), F.least(L(8), F.floor(C("count") / least))).alias("most_k"))
+
+    def bounds(parts):
+        for t in parts:
+            found = [clustering.bounds(n) for n in t["count"]]
+            yield t.assign(least_rows=[a for a, _ in found], most_k=[b for _, b in found])[["user_id", "least_rows", "most_k"]]
+
+    return counts.mapInPandas(bounds, "user_id long, least_rows long, most_k long")
 
 
 @query("linreg_simple", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) + 0.0 AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) + 0.0 AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) + 0.0 AS r2 FROM lineitem")
@@ -421,26 +459,123 @@ def linreg_simple(spark, sf):
     return beta.crossJoin(out["model summary"].select(C("r_squared").alias("r2"))).select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), "r2")
 
 
-@query("linreg_multi")
+#: Fixed text: least squares of three predictors by Cramer's rule over centred sums; errors from the inverse of their matrix.
+_LINREG = (
+    "WITH m AS (SELECT avg(l_extendedprice) AS y, avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_tax) AS c FROM lineitem), "
+    "d AS (SELECT l_extendedprice - m.y AS y, l_quantity - m.a AS a, l_discount - m.b AS b, l_tax - m.c AS c FROM lineitem, m), "
+    "s AS (SELECT count(*) AS n, sum(y * y) AS yy, sum(a * y) AS ay, sum(b * y) AS by_, sum(c * y) AS cy, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc FROM d), "
+    "i AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s), "
+    "k AS (SELECT *, (bb * cc - bc * bc) / det AS iaa, (ac * bc - ab * cc) / det AS iab, (ab * bc - ac * bb) / det AS iac, (aa * cc - ac * ac) / det AS ibb, (ab * ac - aa * bc) / det AS ibc, (aa * bb - ab * ab) / det AS icc FROM i), "
+    "w AS (SELECT *, iaa * ay + iab * by_ + iac * cy AS wa, iab * ay + ibb * by_ + ibc * cy AS wb, iac * ay + ibc * by_ + icc * cy AS wc FROM k), "
+    "e AS (SELECT w.*, (yy - wa * ay - wb * by_ - wc * cy) / (n - 4) AS v FROM w), "
+    "t AS (SELECT 'intercept' AS term, m.y - wa * m.a - wb * m.b - wc * m.c AS estimate, sqrt(v * (1.0 / n + m.a * m.a * iaa + m.b * m.b * ibb + m.c * m.c * icc + 2 * (m.a * m.b * iab + m.a * m.c * iac + m.b * m.c * ibc))) AS std_error FROM e, m "
+    "UNION ALL SELECT 'l_quantity', wa, sqrt(v * iaa) FROM e UNION ALL SELECT 'l_discount', wb, sqrt(v * ibb) FROM e UNION ALL SELECT 'l_tax', wc, sqrt(v * icc) FROM e) "
+    "SELECT term, round(estimate, 3) + 0.0 AS estimate, round(std_error, 3) + 0.0 AS std_error, round(estimate / std_error, 3) + 0.0 AS statistic FROM t"
+)
+
+
+@query("linreg_multi", _LINREG)
 def linreg_multi(spark, sf):
     from .operators.numeric import regression
 
-    return regression.linear(lineitem(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])["coefficients"]
+    out = regression.linear(lineitem(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])["coefficients"]
+    return out.select("term", *[F.round(c, 3).alias(c) for c in ("estimate", "std_error", "statistic")])
 
 
-@query("logreg")
+_RETURNS = ("l_quantity", "l_discount")
+
+
+@query("logreg", "SELECT unnest(['intercept', 'l_quantity', 'l_discount']) AS term, 0.0::DOUBLE AS score_residual, (SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS n_positive")
 def logreg(spark, sf):
+    """The fitted terms, held against what makes them the fit: the derivatives of the penalised likelihood are zero there, to five places a row."""
     from .operators.numeric import regression
 
     r = lineitem(spark, sf)
-    return regression.logistic(r.with_df(r.df.withColumn("returned", (C("l_returnflag") == "R").cast("int"))), "returned", ["l_quantity", "l_discount"])["coefficients"]
+    r = r.with_df(r.df.withColumn("returned", (C("l_returnflag") == "R").cast("int")))
+    beta = regression.logistic(r, "returned", list(_RETURNS))["coefficients"]
+    wide = beta.agg(*[F.max(F.when(C("term") == t, C("estimate"))).alias(f"b_{t}") for t in ("intercept", *_RETURNS)])
+    z = sum((C(f"b_{t}") * C(t) for t in _RETURNS), C("b_intercept"))
+    off = C("returned") - 1 / (1 + F.exp(-z))
+    rows = r.df.select("returned", *_RETURNS).crossJoin(F.broadcast(wide))  # one row
+    found = rows.agg(
+        F.avg(off).alias("s_intercept"), *[(F.avg(off * C(t)) - F.first(f"b_{t}") / F.count(L(1))).alias(f"s_{t}") for t in _RETURNS], F.count(L(1)).alias("n_rows"), F.sum("returned").alias("n_positive"),
+    )
+    out = F.explode(F.array(*[F.struct(L(t).alias("term"), (F.round(f"s_{t}", 5) + 0.0).alias("score_residual")) for t in ("intercept", *_RETURNS)]))
+    return found.select(out.alias("x"), "n_rows", "n_positive").select("x.term", "x.score_residual", "n_rows", C("n_positive").cast("long").alias("n_positive"))
 
 
+# Clusters are what numpy finds: SQL can say what holds of them, whichever they are.
+
+_CLUSTERED = "SELECT event_type, count(*) AS n_rows, CAST(3 AS BIGINT) AS n_clusters, round(sum(value), 4) + 0.0 AS total, 0.0::DOUBLE AS off_center, true AS ordered, true AS apart FROM events GROUP BY event_type"
 for _method in ("kmeans", "gmm"):
-    query(f"{_method}_partitioned")(lambda s, d, m=_method: modes.analyse(events(s, d), {"mode": "clustering", "features": ["value"], "partition_fields": ["event_type"], "method": m, "clusters": 3})[0].relation)
-query("autok_diagnostics")(lambda s, d: modes.analyse(events(s, d), {"mode": "clustering", "features": ["value"], "partition_fields": ["event_type"], "clusters": 0})[1].relation)
-query("bootstrap_ci")(lambda s, d: modes.analyse(events(s, d), {"mode": "bootstrap", "value_field": "value", "resample_unit_fields": ["user_id"], "iterations": 500})[0].relation)
-query("cluster_compare")(lambda s, d: mode(s, d, {"mode": "cluster_compare", "reference_pitch_type": "click", "features": ["release_speed"], "clusters": 2, "min_usage": 0.15}))
+    @query(f"{_method}_partitioned", _CLUSTERED if _method == "kmeans" else _CLUSTERED.replace(", 0.0::DOUBLE AS off_center", "").replace(", true AS apart", ", true AS sure"))
+    def clustered(spark, sf, m=_method):
+        """Clusters of each type: together they hold all rows, a k-means center is its rows' mean, they are numbered by their centers, and k-means clusters
+        lie apart; a mixture's rows are at least as sure of their cluster as chance."""
+        found = modes.analyse(events(spark, sf), {"mode": "clustering", "features": ["value"], "partition_fields": ["event_type"], "method": m, "clusters": 3, "assignment_limit": 50_000})
+        clusters = found[0].relation.df
+        own = F.row_number().over(Window.partitionBy("event_type").orderBy("center_value")) - 1
+        by = clusters.withColumn("place", own).groupBy("event_type").agg(
+            F.sum("sample_size").alias("n_rows"), F.count(L(1)).alias("n_clusters"), F.round(F.sum(C("sample_size") * C("mean_value")), 4).alias("total"), F.round(F.max(F.abs(C("center_value") - C("mean_value"))), 4).alias("off_center"),
+            F.min(C("place") == C("cluster")).alias("ordered"),
+        )
+        rows = found[-1].relation.df
+        if m == "gmm":
+            return by.drop("off_center").join(rows.groupBy("event_type").agg((F.min("cluster_probability") > 0.33).alias("sure")), "event_type")
+        edges = rows.groupBy("event_type", "cluster").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        before = F.lag("high").over(Window.partitionBy("event_type").orderBy("cluster"))
+        apart = edges.withColumn("before", before).groupBy("event_type").agg(F.min(F.coalesce(C("before") < C("low"), L(True))).alias("apart"))
+        return by.join(apart, "event_type")
+
+
+@query(
+    "autok_diagnostics",
+    "WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) SELECT event_type, least(8, n // least(n, greatest(5, least(30, CAST(ceil(n * 0.03) AS BIGINT))))) AS tried, CAST(1 AS BIGINT) AS selected, true AS least_valid_bic, true AS valid_by_size FROM n",
+)
+def autok_diagnostics(spark, sf):
+    """The numbers of clusters that were tried for each type: one is selected, the valid one with the least BIC; one is valid that has no tiny cluster."""
+    found = modes.analyse(events(spark, sf), {"mode": "clustering", "features": ["value"], "partition_fields": ["event_type"], "clusters": 0})
+    n = events(spark, sf).df.groupBy("event_type").agg(F.count(L(1)).alias("n"))
+    least = F.least(C("n"), F.greatest(L(5), F.least(L(30), F.ceil(C("n") * 0.03))))
+    d = found[1].relation.df.join(n, "event_type").withColumn("best", F.min(F.when(C("valid"), C("bic"))).over(Window.partitionBy("event_type")))
+    return d.groupBy("event_type").agg(
+        F.count(L(1)).alias("tried"), F.count(F.when(C("selected"), 1)).alias("selected"), F.max(C("selected") & C("valid") & (C("bic") == C("best"))).alias("least_valid_bic"),
+        F.min(C("valid") == ((C("k") == 1) | (C("smallest_cluster") >= least))).alias("valid_by_size"),
+    )
+
+
+@query("bootstrap_ci", "SELECT round(avg(value), 6) + 0.0 AS estimate, count(*) AS usable_rows, count(DISTINCT user_id) AS units, true AS brackets, true AS near_theory FROM events")
+def bootstrap_ci(spark, sf):
+    """The estimate and its interval; the interval's width is that of the mean of so many units, to a quarter, as the units' own scatter gives it."""
+    r = events(spark, sf)
+    out = modes.analyse(r, {"mode": "bootstrap", "value_field": "value", "resample_unit_fields": ["user_id"], "iterations": 500})[0].relation.df
+    units = r.df.groupBy("user_id").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
+    whole = units.agg((F.sum("s") / F.sum("c")).alias("mean"))
+    off = units.crossJoin(F.broadcast(whole)).agg((F.sqrt(F.sum(F.pow(C("s") - C("mean") * C("c"), 2))) / F.sum("c")).alias("error"))  # one row each
+    row = out.crossJoin(F.broadcast(off))
+    return row.select("estimate", "usable_rows", C("resample_units").alias("units"), ((C("ci_lower") < C("estimate")) & (C("estimate") < C("ci_upper"))).alias("brackets"), F.abs((C("ci_upper") - C("ci_lower")) / (2 * 1.96 * C("error")) - 1).between(0, 0.25).alias("near_theory"))
+
+
+@query(
+    "cluster_compare",
+    "WITH u AS (SELECT user_id AS pitcher, event_type AS pitch_type, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY user_id) AS usage FROM events GROUP BY user_id, event_type), "
+    "signs AS (SELECT pitcher, string_agg(pitch_type, '|' ORDER BY pitch_type) AS arsenal FROM u WHERE usage > 0.15 GROUP BY pitcher), "
+    "m AS (SELECT s.arsenal, u.pitch_type, avg(e.value) AS metric FROM u JOIN signs s ON u.pitcher = s.pitcher JOIN events e ON e.user_id = u.pitcher AND e.event_type = u.pitch_type WHERE u.usage > 0.15 AND u.pitch_type <> 'click' GROUP BY s.arsenal, u.pitch_type), "
+    "best AS (SELECT arsenal, pitch_type FROM (SELECT *, row_number() OVER (PARTITION BY arsenal ORDER BY metric, pitch_type) AS n FROM m) WHERE n = 1), "
+    "mine AS (SELECT s.pitcher, s.arsenal, b.pitch_type, (SELECT count(*) FROM events e WHERE e.user_id = s.pitcher AND e.event_type = b.pitch_type) AS n FROM signs s JOIN best b ON s.arsenal = b.arsenal), "
+    "ref AS (SELECT user_id AS pitcher, count(*) AS reference_sample_size, round(avg(value), 6) + 0.0 AS reference_value FROM events WHERE event_type = 'click' GROUP BY user_id) "
+    "SELECT mine.pitcher, arsenal, pitch_type AS candidate_pitch_type, reference_sample_size, reference_value, true AS some_rows, true AS best_is_low, true AS differs FROM mine LEFT JOIN ref ON mine.pitcher = ref.pitcher WHERE n >= 2",
+)
+def cluster_compare(spark, sf):
+    """Which category each entity is compared by and against what is SQL's; of the best cluster it holds that it has some of the category's rows and that
+    its mean isn't above theirs."""
+    out = mode(spark, sf, {"mode": "cluster_compare", "reference_pitch_type": "click", "features": ["release_speed"], "clusters": 2, "min_usage": 0.15})
+    whole = pitches(spark, sf).df.groupBy("pitcher", C("pitch_type").alias("candidate_pitch_type")).agg(F.count(L(1)).alias("n"), F.avg("release_speed").alias("mean"))
+    out = out.join(whole, ["pitcher", "candidate_pitch_type"])
+    return out.select(
+        "pitcher", "arsenal", "candidate_pitch_type", "reference_sample_size", "reference_value", C("candidate_sample_size").between(1, C("n")).alias("some_rows"), (C("candidate_value") <= C("mean") + 1e-9).alias("best_is_low"),
+        F.coalesce(F.abs(C("difference") - (C("candidate_value") - C("reference_value"))) < 1e-9, C("reference_value").isNull()).alias("differs"),
+    )
 
 
 @query("bootstrap_point_estimate", "SELECT round(sum(CASE WHEN event_type = 'click' THEN value END) / count(CASE WHEN event_type = 'click' THEN 1 END) - sum(CASE WHEN event_type = 'view' THEN value END) / count(CASE WHEN event_type = 'view' THEN 1 END), 6) + 0.0 AS estimate, count(*) AS usable_rows FROM events WHERE event_type IN ('click', 'view')")
@@ -471,12 +606,37 @@ def ingest_fallback_uid(spark, sf):
     return ingest.typed(raw_lines(spark, sf), "s1").select("pitch_uid")
 
 
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders", ("o_orderkey",)).df.select(C("o_orderkey").cast("string").alias("pitch_uid"), "o_orderkey", C("o_orderstatus").alias("_row_hash"), C("o_totalprice").alias("price"), C("o_orderpriority").alias("zone"))
+
+
 @query("ingest_merge_upsert", "SELECT CAST(o_orderkey AS VARCHAR) AS pitch_uid, CASE WHEN o_orderkey % 3 = 0 THEN 'inserted' WHEN o_orderkey % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS fate FROM orders WHERE o_orderkey % 2 = 0")
 def ingest_merge_upsert(spark, sf):
-    o = table(spark, sf, "orders", ("o_orderkey",)).df.select(C("o_orderkey").cast("string").alias("pitch_uid"), "o_orderkey", C("o_orderstatus").alias("_row_hash"))
+    o = _orders(spark, sf).select("pitch_uid", "o_orderkey", "_row_hash")
     stored = o.filter("o_orderkey % 3 <> 0").drop("o_orderkey")
     coming = o.filter("o_orderkey % 2 = 0").withColumn("_row_hash", F.when(C("o_orderkey") % 5 == 0, "changed").otherwise(C("_row_hash"))).drop("o_orderkey")
-    return ingest.merge(stored, coming)[1]
+    return ingest.merge(stored, coming).filter("_fate is not null").select("pitch_uid", C("_fate").alias("fate"))
+
+
+@query(
+    "ingest_merge_table",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS pitch_uid, CASE WHEN o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0) THEN CASE WHEN o_orderkey % 4 <> 0 THEN round(o_totalprice + 2, 2) + 0.0 END ELSE round(o_totalprice, 2) + 0.0 END AS price, "
+    "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS zone, CASE WHEN o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0) THEN CAST(2 AS BIGINT) ELSE 0 END AS turn FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0",
+)
+def ingest_merge_table(spark, sf):
+    """The table after a delivery of which each identity comes twice and the last counts; it brings a price (null for some) and a new column, and no zone."""
+    o = _orders(spark, sf)
+    stored = o.filter("o_orderkey % 3 <> 0").drop("o_orderkey")
+    coming = o.filter("o_orderkey % 2 = 0").withColumn("turn", F.explode(F.array(L(2), L(1))))
+    coming = coming.select("pitch_uid", F.when((C("o_orderkey") % 5 == 0) | (C("turn") == 1), "changed").otherwise(C("_row_hash")).alias("_row_hash"), F.when(C("o_orderkey") % 4 != 0, F.round(C("price") + C("turn"), 2)).alias("price"), "turn", C("turn").alias("_position"))
+    return ingest.merge(stored, coming).select("pitch_uid", F.round("price", 2).alias("price"), "zone", F.coalesce("turn", L(0)).alias("turn"))
+
+
+@query("mirror_refresh", "SELECT CAST(o_orderkey AS VARCHAR) AS pitch_uid, round(CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END, 2) + 0.0 AS price FROM orders")
+def mirror_refresh(spark, sf):
+    o = _orders(spark, sf)
+    copy = o.filter("o_orderkey % 8 <> 0").select("pitch_uid", "price")
+    return ingest.refresh(copy, o.filter("o_orderkey % 4 = 0").select("pitch_uid", (C("price") + 1).alias("price"))).select("pitch_uid", F.round("price", 2).alias("price"))
 
 
 @query("verify_report", f"WITH r AS {_RAW}, u AS (SELECT *, CASE WHEN at_bat_number <> '' THEN game_pk || ':' || at_bat_number || ':' || pitch_number ELSE 'fallback:' || game_pk || pitcher || pitch_number END AS uid FROM r) SELECT count(*) AS pitch_rows, count(DISTINCT game_pk) AS games, count(CASE WHEN at_bat_number = '' THEN 1 END) AS missing_natural_key, count(CASE WHEN at_bat_number = '' THEN 1 END) AS missing_at_bat_number, (SELECT count(*) FROM (SELECT uid FROM u GROUP BY uid HAVING count(*) > 1)) AS duplicate_pitch_uid FROM u")
@@ -484,5 +644,21 @@ def verify_report(spark, sf):
     return ingest.verify(ingest.typed(raw_lines(spark, sf), "s1")).select("pitch_rows", "games", "missing_natural_key", "missing_at_bat_number", "duplicate_pitch_uid")
 
 
+@query("supplemental_verify", "SELECT o_orderstatus AS dataset, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_entities, (SELECT count(*) FROM (SELECT 1 FROM orders x WHERE x.o_orderstatus = o.o_orderstatus GROUP BY o_orderkey % 1000 HAVING count(*) > 1)) AS duplicate_keys FROM orders o GROUP BY o_orderstatus")
+def supplemental_verify(spark, sf):
+    from .sources import supplemental
+
+    rows = table(spark, sf, "orders", ("o_orderkey",)).df.select(C("o_orderstatus").alias("dataset"), C("o_custkey").cast("string").alias("entity"), (C("o_orderkey") % 1000).cast("string").alias("row_key"))
+    return supplemental.verify(rows)
+
+
+@query("supplemental_failed", "SELECT event_type AS dataset, CAST(user_id AS VARCHAR) AS entity, 'failed' AS status FROM events GROUP BY event_type, user_id HAVING max_by(value > 50, event_id)")
+def supplemental_failed(spark, sf):
+    from .sources import supplemental
+
+    units = events(spark, sf).df.select(C("event_id").alias("unit_id"), C("event_type").alias("dataset"), C("user_id").cast("string").alias("entity"), F.when(C("value") > 50, "failed").otherwise("done").alias("status"))
+    return supplemental.failed_units(units)
+
+
 query("chunk_ranges", "SELECT CAST(i AS BIGINT) AS chunk, DATE '2024-01-01' + CAST(i * 5 AS INTEGER) AS start_date, least(DATE '2024-01-01' + CAST(i * 5 + 4 AS INTEGER), DATE '2024-01-31') AS end_date FROM range(7) t(i)")(lambda s, d: ingest.chunks(s, "2024-01-01", "2024-01-31", 5))
 simple("sample_every_nth", "WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS p, count(*) OVER () AS c FROM events) SELECT event_id FROM n WHERE p IN (SELECT (i * c) // 700 FROM range(700) t(i), (SELECT count(*) AS c FROM events))", lambda r: R.project(sampling.sample(R.project(r, ["event_id"]), ["event_id"], "manual", 700), ["event_id"]))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import windowed
@@ -26,14 +27,12 @@ class Section:
     title: str
     relation: Relation
 
-    def rows(self, limit: int | None = None) -> tuple[int, list[dict[str, Any]]]:
+    def rows(self, limit: int = MOST_ROWS) -> tuple[int, list[dict[str, Any]]]:
         """The number of all rows, and the first of them (result_limit, 1 to 5000)."""
-        if limit is None:
-            got = [r.asDict() for r in self.relation.df.collect()]
-            return len(got), got
         if not 1 <= limit <= MOST_ROWS:
             raise RequestError(f"result_limit is from 1 to {MOST_ROWS}")
-        return self.relation.df.count(), [r.asDict() for r in self.relation.df.limit(limit).collect()]
+        got = [r.asDict() for r in self.relation.df.limit(limit + 1).collect()]
+        return len(got) if len(got) <= limit else self.relation.df.count(), got[:limit]
 
 
 def shown(rel: Relation, *more: str) -> list[str]:
@@ -147,12 +146,17 @@ def cross_level(rel: Relation, p: dict) -> dict[str, Relation]:
 
 def change(rel: Relation, entities: list[str], category: str, first, second, min_usage: float = 0.05) -> dict[str, Relation]:
     """Categories of which an entity's share rises above min_usage from one period to the other, or falls below, for entities
-    with rows in both. first, second: conditions."""
-    rows = [R.where(rel, first), R.where(rel, second)]
-    both = rows[0].df.select(*entities).distinct().intersect(rows[1].df.select(*entities).distinct())
-    used = [U.usage(r, entities, category).df.filter(F.col("usage_rate") > min_usage).select(*entities, category).join(both, entities, "left_semi") for r in rows]
-    grain = Grain((*entities, category))
-    return {"added": Relation(used[1].subtract(used[0]), grain), "removed": Relation(used[0].subtract(used[1]), grain)}
+    with rows in both. first, second: conditions. One scan and one aggregate with a count for each period; the windows run over its rows."""
+    rel.need(*entities, category)
+    known = F.col(category).isNotNull()
+    own = Window.partitionBy(*entities)
+    counts = rel.df.filter(first | second).dropna(subset=entities).groupBy(*entities, category).agg(F.count(F.when(first, 1)).alias("__a"), F.count(F.when(second, 1)).alias("__b"))
+    for n in ("__a", "__b"):
+        share = F.col(n) / F.sum(F.when(known, F.col(n))).over(own)
+        counts = counts.withColumns({f"{n}_seen": F.sum(n).over(own) > 0, f"{n}_used": known & F.coalesce(share > min_usage, F.lit(False))})
+    both, grain = counts.filter("__a_seen and __b_seen"), Grain((*entities, category))
+    of = lambda condition: Relation(both.filter(condition).select(*entities, category), grain)
+    return {"added": of("__b_used and not __a_used"), "removed": of("__a_used and not __b_used")}
 
 
 def arsenal_change(rel: Relation, p: dict) -> dict[str, Relation]:
