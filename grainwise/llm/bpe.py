@@ -177,7 +177,12 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The texts of encoded rows: doc_id and text, from doc_id and ids (null: empty)."""
+    """The texts of encoded rows: doc_id and text, from doc_id and ids.
+
+    A row for each row, repeats and null doc_ids among them. Null and empty ids give the empty text; ids that the vocabulary lacks are an error. Other columns are
+    ignored. Very long rows are decoded whole. No rows give no rows.
+    """
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:

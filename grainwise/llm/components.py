@@ -35,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
         now, before, seen = new, seen, signature(new)
         if seen == before:
             break
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    out = now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    out._scratch = now._scratch  # for common.discard(), once it has been read
+    return out
 
 
 def signature(edges: DataFrame) -> tuple:

@@ -215,6 +215,7 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.93, trees: int = 6, l
     counts = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("links"))
     whole = classes.drop("embedding").join(counts.withColumnRenamed("a", "node"), "node", "left").join(roots, "node", "left")
     whole = common.materialise(whole.select(*by, "least", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), "vector-groups")
+    common.discard(found, classes, roots)
     first = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     known = whole.join(first, "root").select(*by, (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
     linked = named.select("vec_id", *by).join(known, by).select("vec_id", "n_links", "component_id")

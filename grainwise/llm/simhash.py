@@ -135,6 +135,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2, segments:
     roots = components(link(nodes.select("fp"), distance, segments))
     group = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     group = common.materialise(group, "fingerprint-groups")
+    common.discard(roots)
     first = group.groupBy("root").agg(F.min("least").alias("component_id"))
     of = group.select("fp", "root").join(first, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -332,9 +333,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, b
                 for end in ("a", "b"):
                     linked = linked.join(roots.select(F.col("node").alias(end), F.col("last").alias(f"{end}_root")), end, "left")
                 joined = components(linked.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
-                # Those that had a root, and those that have one only now.
-                both = roots.join(joined, roots["last"] == joined["was"], "full_outer")
-                roots = both.select(F.coalesce("node", "was").alias("node"), F.coalesce("now", "last").alias("last")).distinct()
+                # Those that had a root, and those that have one only now. A root may have very many nodes: Spark can split this join.
+                moved = roots.join(joined, roots["last"] == joined["was"], "left").select("node", F.coalesce("now", "last").alias("last"))
+                roots = moved.union(joined.join(roots, joined["was"] == roots["node"], "left_anti").select("was", "now"))
             roots = common.materialise(roots, f"roots-{round_}")
         group = nodes.select("node", *digest, "doc", "tie")
         group = group.join(roots, "node", "left").withColumn("root", F.coalesce("last", "node")) if roots is not None else group.withColumn("root", F.col("node"))
@@ -387,7 +388,9 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
-    """The rows of docs that stay when each group of similar_documents() keeps its first document, with all their columns."""
+    """The rows of docs that stay when each group of similar_documents() keeps its first document (smallest doc_id, null lowest; of rows of one doc_id the smallest
+    hash of the text), with all their columns, whatever their names. Of rows that repeat a doc_id and its text one stays. Null and empty texts are one group. Very
+    long texts are compared whole. No rows give no rows."""
     from .substring_dedup import keys
 
     groups = common.materialise(similar_documents(docs, similarity, size).where("not kept").select("doc", "tie"), "near-copies")

@@ -136,7 +136,9 @@ def count_sections(docs: DataFrame, tokenizer: str, rule: str = "start") -> Data
 def count_fields(docs: DataFrame, fields: list[str], tokenizer: str, rule: str = "start", separator: str = SEPARATOR) -> DataFrame:
     """Tokens of each field when the fields of a row are one document, joined by separator (whose tokens are the field's before it).
 
-    Returns doc_id, field, n_tokens, n_crossing, a row for each row of docs and field. Null fields count as empty. Fields may have any name.
+    Returns doc_id, field, n_tokens, n_crossing, a row for each row of docs and field. Null and empty fields have no characters of their own. Fields may have any name;
+    columns beside them are ignored. Null and repeated doc_ids are rows like any other, and where a token lies alike on two fields the earlier one has it. Very
+    long fields are encoded whole. No rows give no rows.
     """
     _check(rule)
     common.bound_batches(docs.sparkSession)

@@ -234,7 +234,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
-    """The documents of a folder of shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if with_ids, ids."""
+    """The documents of a folder of shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if with_ids, ids.
+
+    A row for each row that was written, null and repeated doc_ids among them. A task holds some rows or one very long document. A folder without shards gives no rows.
+    """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard

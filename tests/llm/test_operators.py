@@ -426,6 +426,26 @@ def test_prefixes_meet():
                 assert len(np.intersect1d(simhash.prefix(a, t, frequent), simhash.prefix(b, t, frequent)))
 
 
+def test_long_near_copies(spark):
+    rng = random.Random(17)
+    long = words(rng, 120_000).split()
+    near = [w if i % 60 else w + "x" for i, w in enumerate(long)]  # 0.85
+    far = [w if i % 30 else w + "x" for i, w in enumerate(long)]  # 0.71
+    df = spark.createDataFrame([(0, " ".join(long)), (1, " ".join(near)), (2, " ".join(far)), (3, " ".join(long[:100_000]))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [0, 2]
+
+
+def test_a_hot_group_of_near_copies(spark):
+    """A third of all rows resemble each other; they span several blocks, and no pair of them is compared more often than rounds need."""
+    rng = random.Random(18)
+    base = words(rng, 200).split()
+    texts = [" ".join(base[:k] + [f"own{i}"] + base[k:]) for i in range(90) for k in [rng.randrange(200)]]
+    texts += [words(rng, rng.randint(3, 60)) for _ in range(180)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc: r.root_doc for r in simhash.similar_documents(df, block=16).collect()}
+    assert got == {i: 0 if i < 90 else i for i in range(270)}
+
+
 def test_exact_jaccard():
     rng = np.random.default_rng(0)
     sets = [set(rng.integers(0, 40, rng.integers(0, 60)).tolist()) for _ in range(12)] + [set(), set()]
@@ -848,6 +868,86 @@ def test_toxicity_of_odd_texts(spark, labelled, docs, none):
         assert flat.select("score").distinct().count() == 1
 
 
+def plain_score(model, text):
+    """The classifier word by word: every filter at every place, the highest of each, a logistic sum."""
+    rows = [[0.0] * toxicity.DIM]  # padding
+    vectors = [np.sum([model.embeddings[f].astype(float) for f in toxicity.features(w)], axis=0) for w in toxicity.words_of(text)] or [np.array(rows[0])]
+    hidden = []
+    for width, filters, bias in zip(toxicity.WIDTHS, model.filters, model.biases, strict=True):
+        padded = vectors + [np.zeros(toxicity.DIM)] * (width - 1)
+        for f in range(toxicity.FILTERS):
+            hidden.append(max(0.0, max(sum(float(padded[at + j] @ filters[j][:, f]) for j in range(width)) + float(bias[f]) for at in range(len(vectors)))))
+    z = sum(h * float(w) for h, w in zip(hidden, model.weights, strict=True)) + float(model.bias)
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_are_the_plain_ones():
+    rng = random.Random(15)
+    model = toxicity.Model.new(3)
+    model.biases = [b + 0.1 * k - 0.1 for k, b in enumerate(model.biases)]
+    model.bias = -0.2
+    texts = ["", None, "one", "Two words", *[words(rng, rng.randint(1, 60)) for _ in range(30)], words(rng, 400)]
+    got = toxicity.Scorer(model).scores(texts)
+    assert got.tolist() == pytest.approx([plain_score(model, t) for t in texts], abs=1e-5)
+
+
+def test_long_texts_are_pooled_whole():
+    """Longer than a piece, with what decides at either end and across a border of pieces."""
+    rng = random.Random(16)
+    model = toxicity.Model.new(4)
+    filler = (words(rng, 500) + " ") * 280  # 140,000 words
+    base = filler.split()
+    for at in (0, (1 << 16) - 1, 1 << 16, len(base) - 1):
+        own = base[:at] + ["decisive", "pair"] + base[at:]
+        scorer = toxicity.Scorer(model)
+        got = scorer.scores(["short", " ".join(own), "also short"]).tolist()
+        line, starts, pad = toxicity.layout([scorer.vocab.numbers(toxicity.words_of(t)) for t in ("short", " ".join(own), "also short")])
+        pooled, _ = model.pool(scorer.known[line], starts, pad)  # all at once
+        assert got == pytest.approx(toxicity.sigmoid(np.maximum(pooled, 0) @ model.weights + model.bias).tolist(), abs=1e-6)
+
+
+def test_a_step_goes_down_the_gradient(monkeypatch):
+    """One step of training against differences of the loss: the filters, biases and weights move against its derivative."""
+    texts, labels = ["good morning to all", "bad vilor words", "more good words", "vilor again"], np.array([0, 1, 0, 1], np.float32)
+    seen = {}
+
+    def loss(model):
+        s = np.array([plain_score(model, t) for t in texts])
+        return float(-(labels * np.log(s) + (1 - labels) * np.log(1 - s)).sum())
+
+    new = toxicity.Model.new
+    monkeypatch.setattr(toxicity.Model, "new", staticmethod(lambda seed: seen.setdefault("m", new(seed))))
+    monkeypatch.setattr(np.random, "default_rng", lambda seed, real=np.random.default_rng: Steady(real(seed)))
+    before = new(5)
+    after = toxicity.fit(texts, labels, np.ones(4, np.float32), passes=1, batch=4, rate=1e-4, seed=5)
+    before.bias = float(np.log((0.5 + 1e-3) / (0.5 + 1e-3)))
+    for name in ("filters", "biases"):
+        for k, part in enumerate(getattr(before, name)):
+            moved = getattr(after, name)[k] - part
+            for at in list(np.ndindex(part.shape))[:: max(1, part.size // 12)]:
+                kept, h = part[at], 1e-2
+                part[at] = kept + h
+                up = loss(before)
+                part[at] = kept - h
+                slope = (up - loss(before)) / (2 * h)
+                part[at] = kept
+                if abs(slope) > 1e-2:
+                    assert np.sign(moved[at]) == -np.sign(slope), (name, k, at)
+
+
+class Steady:
+    """A generator that leaves no word out."""
+
+    def __init__(self, rng):
+        self.rng = rng
+
+    def random(self, n):
+        return np.ones(n)
+
+    def __getattr__(self, name):
+        return getattr(self.rng, name)
+
+
 def test_calibration_by_language():
     s = np.array([0.1, 0.2, 0.3, 0.9] * 30)
     y = np.array([0, 0, 1, 1] * 30, np.float32)
