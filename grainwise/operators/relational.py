@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.aggregates import AGGREGATES, RANKING, aggregate, windowed
 from ..functions.expressions import condition
@@ -18,9 +19,19 @@ def source(df: DataFrame, grain: Grain) -> Relation:
     return Relation(df, grain).with_df(df)
 
 
+#: Schemas of tables that have been read, by session, path and time of change; reading a schema is a job of its own.
+_schemas: dict[tuple[str, str, int], StructType] = {}
+
+
 def scan(spark: SparkSession, path: str, grain: Grain) -> Relation:
-    """A Parquet table; Spark prunes its columns and pushes filters down."""
-    return source(spark.read.parquet(path), grain)
+    """A Parquet table; Spark prunes its columns and pushes filters down. Its schema is read once for as long as the file or folder doesn't change."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    key = spark.sparkContext.applicationId, path, at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    if key not in _schemas:
+        if len(_schemas) >= 256:
+            _schemas.clear()
+        _schemas[key] = spark.read.parquet(path).schema
+    return source(spark.read.schema(_schemas[key]).parquet(path), grain)
 
 
 def where(rel: Relation, predicate: Column) -> Relation:

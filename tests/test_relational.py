@@ -147,3 +147,15 @@ def test_plan_shapes(spark):
         assert "Join" not in plan(rel) and executed(rel).count("Exchange hashpartitioning") == 1
     both = U.usage_with_signature(r, ["pitcher"])
     assert "Join" not in plan(both) and executed(both).count("Exchange hashpartitioning") == 2
+
+
+def test_scan_sees_changes(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).selectExpr("id as k", "id as v").write.parquet(path)
+    assert R.scan(spark, path, Grain(("k",))).fields == ["k", "v"] and R.scan(spark, path, Grain(("k",))).df.count() == 3
+    spark.range(2).selectExpr("id as k", "'x' as w").write.mode("overwrite").parquet(path)
+    os.utime(path, (1, 1))
+    again = R.scan(spark, path, Grain(("k",)))
+    assert again.fields == ["k", "w"] and again.df.count() == 2
