@@ -35,6 +35,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Paths of the tables made inside passing_tables(), innermost last.
 _passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
@@ -45,7 +47,13 @@ def materialise(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     if not lasting and (made := _passing.get()) is not None:
         made.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    # Shuffle files of a plan that is written once are of no use after it; Spark would keep them until the driver happens to collect its garbage.
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -252,7 +252,7 @@ def cut_windows(length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cold, hot = Rows(CUT), Rows(CUT)
         for batch in batches:
-            for doc, tie, text, found in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for doc, tie, text, found in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
                 data, doc, tie = (text.as_py() or "").encode(), doc.as_py(), tie.as_py()
                 for w in found.as_py():
                     start, k = w["place"] >> 32, w["place"] & 0xFFFF
@@ -492,15 +492,17 @@ def removed_spans(docs: DataFrame, length: int = 100, gram: int = 28, hot_window
     met = common.materialise(met, "windows")
     open_ = met.where("not taken").drop("taken")
     hot = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_windows).select("anchor", F.lit(True).alias("hot"))
-    wanted = open_.join(hot, "anchor", "left").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "content", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
+    on = ["doc", "tie"] if repeats else ["doc"]
+    wanted = open_.join(hot, "anchor", "left").groupBy(*on).agg(F.collect_list(F.struct("anchor", "content", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
     cut = docs.dropDuplicates(["doc", "tie"]) if repeats else docs
-    cut = cut.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).mapInArrow(cut_windows(length), CUT)
+    # The columns of the last join, so that the texts are moved once for both.
+    cut = cut.join(wanted, on).select("doc_id", "doc", "tie", "text", "found").mapInArrow(cut_windows(length), CUT)
     searched = cut.repartition("anchor").sortWithinPartitions(*NUMBERS).mapInArrow(search_shards(length, gram), RUN)
     start = F.shiftright("place", 32)
     whole = met.where("taken").select("doc", "tie", start.alias("first"), (start + F.col("place").bitwiseAND(0xFFFF) - 1).alias("last"))
-    lost = whole.union(searched).groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    lost = whole.union(searched).groupBy(*on).agg(F.collect_list(F.struct("first", "last")).alias("found"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>"
-    return docs.join(lost, ["doc", "tie"], "left").select("doc_id", "text", "found").mapInArrow(removal(length), schema)
+    return docs.join(lost, on, "left").select("doc_id", "text", "found").mapInArrow(removal(length), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

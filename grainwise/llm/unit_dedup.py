@@ -148,12 +148,13 @@ def remove_repeats(docs: DataFrame, units: tuple[str, ...] = UNITS, min_words: i
     if not units or not set(units) <= set(UNITS):
         raise ValueError(f"units are some of {UNITS}")
     common.bound_batches(docs.sparkSession, megabytes=4)
-    docs, _ = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs, repeats = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = docs.select("doc", "tie", "text").mapInArrow(find_units(units), WINDOW)
     lost = found.repartition("anchor").sortWithinPartitions(*NUMBERS).mapInArrow(meet(trust=True), WINDOW).where("taken")
-    lost = lost.groupBy("doc", "tie").agg(F.collect_set("place").alias("found"))
+    on = ["doc", "tie"] if repeats else ["doc"]
+    lost = lost.groupBy(*on).agg(F.collect_set("place").alias("found"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_units_removed long, kept_text string, removed array<struct<start: long, end: long>>"
-    return docs.join(lost, ["doc", "tie"], "left").select("doc_id", "text", "found").mapInArrow(removal(min_words), schema)
+    return docs.join(lost, on, "left").select("doc_id", "text", "found").mapInArrow(removal(min_words), schema)
 
 
 def op1_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
