@@ -430,7 +430,7 @@ def test_long_near_copies(spark):
     rng = random.Random(17)
     long = words(rng, 120_000).split()
     near = [w if i % 60 else w + "x" for i, w in enumerate(long)]  # 0.85
-    far = [w if i % 30 else w + "x" for i, w in enumerate(long)]  # 0.71
+    far = [w if i % 30 else w + "y" for i, w in enumerate(long)]  # 0.71
     df = spark.createDataFrame([(0, " ".join(long)), (1, " ".join(near)), (2, " ".join(far)), (3, " ".join(long[:100_000]))], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [0, 2]
 
