@@ -42,13 +42,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
     s = s.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("fills_at", F.col("cap") / F.col("weight")).drop("place")
     s = along(s, [F.col("fills_at"), F.col("source").asc_nulls_last()], {"full_cap": "cap", "full_weight": "weight"}, "mix-levels-of-sources")
-    whole = s.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    left = F.col("all_size") - F.col("full_cap") + F.col("cap")
-    by = F.col("all_weight") - F.col("full_weight") + F.col("weight")
+    s = common.materialise(s, "mix-weights")
+    whole = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    left = F.lit(whole.size or 0) - F.col("full_cap") + F.col("cap")
+    by = F.lit(whole.weight or 0.0) - F.col("full_weight") + F.col("weight")
     # With all sources before this one full, the level would be left / by. It rises while the next source is full at
     # it and falls after that, so that the level sought is the highest.
-    level = s.crossJoin(F.broadcast(whole)).agg(F.max(F.try_divide(left, by)).alias("level"))  # one row each
-    return s.crossJoin(F.broadcast(level)).select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
+    level = s.agg(F.max(F.try_divide(left, by))).first()[0] or 0.0
+    return s.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def along(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
