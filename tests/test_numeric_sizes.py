@@ -69,3 +69,16 @@ def test_kmeans_in_blocks_without_partitions(spark, monkeypatch):
     found = numeric.clustered(three_groups(spark), {"features": ["p", "q"], "clusters": 3})
     assert sum(rows_of(found["cluster summary"], "sample_size")) == 539
     assert found["cluster assignments"].df.groupBy("cluster").count().count() == 3
+
+
+def test_mixture_of_many_rows(spark):
+    found = numeric.clustered(many(spark), {"features": ["v"], "partition_fields": ["who"], "clusters": 3, "method": "gmm"})
+    assert [n for *_, n in rows_of(found["cluster summary"], "who", "cluster", "sample_size")] == [33334, 33333, 33334, 33333, 33334, 33333]
+    assert found["cluster assignments"].df.agg(F.min("cluster_probability")).first()[0] > 0.99
+
+
+def test_mixture_in_blocks(spark, monkeypatch):
+    one, blocks = in_blocks(spark, monkeypatch, {"clusters": 3, "method": "gmm"})
+    same_summary(one, blocks)
+    x, y = (f["cluster assignments"].sort_values("pitch_uid")["cluster_probability"].to_numpy() for f in (one, blocks))
+    assert np.allclose(x, y, atol=1e-6) and x.min() > 0.5
