@@ -82,3 +82,17 @@ def test_mixture_in_blocks(spark, monkeypatch):
     same_summary(one, blocks)
     x, y = (f["cluster assignments"].sort_values("pitch_uid")["cluster_probability"].to_numpy() for f in (one, blocks))
     assert np.allclose(x, y, atol=1e-6) and x.min() > 0.5
+
+
+def test_number_of_clusters_of_many_rows(spark):
+    found = {s.title: s.relation for s in modes.analyse(many(spark), {"mode": "clustering", "features": ["v"], "partition_fields": ["who"], "clusters": 0})}
+    tried = found["diagnostics"].df.toPandas()
+    assert len(tried) == 16 and (tried[tried["selected"]].sort_values("who")["k"] >= 3).all() and tried["selected"].sum() == 2 and tried[tried["selected"]]["valid"].all()
+
+
+@pytest.mark.parametrize("method", ["kmeans", "gmm"])
+def test_number_of_clusters_in_blocks(spark, monkeypatch, method):
+    one, blocks = in_blocks(spark, monkeypatch, {"clusters": 0, "method": method})
+    chosen = [f["diagnostics"][f["diagnostics"]["selected"]].sort_values("who") for f in (one, blocks)]
+    assert chosen[0]["k"].tolist() == chosen[1]["k"].tolist() and chosen[0]["k"].tolist()[:2] == [3, 3]
+    assert np.allclose(chosen[0]["bic"].to_numpy(float), chosen[1]["bic"].to_numpy(float), rtol=1e-3)
