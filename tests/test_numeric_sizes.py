@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainwise.grain import Grain, Relation, RequestError
+from grainwise.operators.numeric import bootstrap as B
 from grainwise.operators.numeric import fits as M
 from grainwise.operators.numeric import modes as numeric
 from grainwise.plans import modes
@@ -96,3 +97,27 @@ def test_number_of_clusters_in_blocks(spark, monkeypatch, method):
     chosen = [f["diagnostics"][f["diagnostics"]["selected"]].sort_values("who") for f in (one, blocks)]
     assert chosen[0]["k"].tolist() == chosen[1]["k"].tolist() and chosen[0]["k"].tolist()[:2] == [3, 3]
     assert np.allclose(chosen[0]["bic"].to_numpy(float), chosen[1]["bic"].to_numpy(float), rtol=1e-3)
+
+
+def test_bootstrap_of_many_rows(spark):
+    r = Relation(many(spark).df.withColumn("unit", F.expr("cast(pitch_uid as long) % 1000")), ID)
+    out = modes.analyse(r, {"mode": "bootstrap", "value_field": "v", "resample_unit_fields": ["unit"], "iterations": 200})[0].relation.df.first()
+    assert out.usable_rows == MANY and out.resample_units == 1000 and out.ci_lower < out.estimate < out.ci_upper
+    with pytest.raises(RequestError):
+        modes.analyse(r, {"mode": "bootstrap", "value_field": "v", "resample_unit_fields": ["unit"], "statistic": "median"})
+
+
+@pytest.mark.parametrize("sides", [None, "mixed", "apart"])
+def test_bootstrap_in_blocks(spark, monkeypatch, sides):
+    """Means of units of one row each: their deviation over the root of their number is the means' deviation, and results don't change with partitions."""
+    rng = np.random.default_rng(3)
+    rows = [(str(i), i // 2 if sides == "mixed" else i, "ab"[i % 2], float(v)) for i, v in enumerate(rng.normal(10, 2, 600))]
+    df = spark.createDataFrame(rows, "pitch_uid string, unit long, side string, v double")
+    monkeypatch.setattr(B, "BLOCK", 64)
+    groups = ("side", "a", "b") if sides else (None, None, None)
+    b = B.Bootstrap("v", ["unit"], "mean", *groups, iterations=1000)
+    one, two = (B.run(Relation(x, ID), b)["bootstrap result"].first() for x in (df, df.repartition(7)))
+    assert one[2:] == two[2:] and one.estimate == pytest.approx(two.estimate) and one.resample_units == (300 if sides == "mixed" else 600)
+    v = np.array([r[3] for r in rows])
+    error = np.sqrt(v[::2].var() / 300 + v[1::2].var() / 300) if sides else v.std() / np.sqrt(600)
+    assert one.ci_lower < one.estimate < one.ci_upper and abs((one.ci_upper - one.ci_lower) / (2 * 1.96 * error) - 1) < 0.15
