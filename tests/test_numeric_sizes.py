@@ -121,3 +121,14 @@ def test_bootstrap_in_blocks(spark, monkeypatch, sides):
     v = np.array([r[3] for r in rows])
     error = np.sqrt(v[::2].var() / 300 + v[1::2].var() / 300) if sides else v.std() / np.sqrt(600)
     assert one.ci_lower < one.estimate < one.ci_upper and abs((one.ci_upper - one.ci_lower) / (2 * 1.96 * error) - 1) < 0.15
+
+
+def test_cluster_compare_of_many_rows(spark):
+    kind = F.when(F.expr("id % 5 = 0"), "FF").otherwise("CH").alias("pitch_type")
+    rows = spark.range(260_000).select(F.col("id").cast("string").alias("pitch_uid"), (F.col("id") % 2).alias("pitcher"), kind, F.expr("if(id % 5 = 0, 96D, 84D) as release_speed"), F.expr("(id % 3) * 10D as pfx_x"), F.expr("if(id % 3 = 0, 0.1D, 0.3D) as woba"))
+    payload = {"mode": "cluster_compare", "features": ["pfx_x"], "clusters": 3, "evaluation_field": "woba"}
+    out = {s.title: s.relation for s in modes.analyse(Relation(rows, ID), payload)}
+    sizes = {r["pitcher"]: r["count"] for r in rows.filter("pitch_type = 'CH' and pfx_x = 0").groupBy("pitcher").count().collect()}
+    for r in out["comparison"].df.collect():
+        assert (r.candidate_pitch_type, r.best_cluster, r.candidate_sample_size) == ("CH", 0, sizes[r.pitcher]) and r.candidate_value == pytest.approx(0.1)
+    assert len(sizes) == out["comparison"].df.count() == 2
