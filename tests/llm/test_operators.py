@@ -853,6 +853,22 @@ def test_toxicity(spark, labelled):
     assert np.array_equal(model.embeddings, again.embeddings) and model.thresholds == again.thresholds
 
 
+def test_toxicity_is_fitted_outside_the_driver(spark, labelled, monkeypatch):
+    driver, fit = os.getpid(), toxicity.fit
+
+    def elsewhere(*args, **kwargs):
+        if os.getpid() == driver:
+            raise MemoryError("the sample and the fit don't belong into the driver's memory")
+        return fit(*args, **kwargs)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    got = toxicity.train(*labelled)
+    monkeypatch.undo()
+    rows = labelled[0].join(labelled[1].where("toxic is not null"), "doc_id").select(F.xxhash64("doc_id", F.lit(42)), "doc_id", "text", "lang", "toxic").collect()
+    plain = toxicity.learn_from([tuple(r) for r in reversed(rows)], {True: 1.0, False: 1.0}, 42)  # fewer rows than the sample may have
+    assert np.array_equal(got.embeddings, plain.embeddings) and np.array_equal(got.weights, plain.weights) and got.thresholds == plain.thresholds
+
+
 def test_toxicity_of_odd_texts(spark, labelled, docs, none):
     model = toxicity.train(*labelled)
     got = {r.text: r.score for r in toxicity.score(docs, model).collect()}
